@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import conversations, lookalikes, splitting
+from tidemark.llm import conversations, lookalikes, personal, splitting
 from tidemark.plans.preparation import COPIES_SQL
 from tidemark.sources.tables import limit_amount, table
 
@@ -22,6 +22,16 @@ def p2_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.where("n_pieces > 1")
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in the texts and tool inputs of messages."""
+    return personal.personal_stretches(table(spark, folder, "messages"), table(spark, folder, "name_parts"))
+
+
+def p4_sanitised(spark: SparkSession, folder: str) -> DataFrame:
+    """Messages with placeholders for personal data."""
+    return personal.sanitise(table(spark, folder, "messages").select("row_id", "text", "input"), table(spark, folder, "name_parts"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Sessions to drop."""
     return conversations.dropped_sessions(table(spark, folder, "messages"))
@@ -38,7 +48,7 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_pieces, p5_found, p5_conversations, p6_found)}
+    return {f.__name__: f for f in (p2_found, p2_pieces, p4_found, p4_sanitised, p5_found, p5_conversations, p6_found)}
 
 
 _TURNS_SQL = f"""WITH {COPIES_SQL},
