@@ -15,6 +15,7 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -255,7 +256,7 @@ def unify(df: DataFrame, text_col: str = "text", row_col: str = "row_id", out_co
     """df with its text in one form for equal looks; null stays null. row_col must be unique."""
 
     @F.pandas_udf("string")
-    def settled(s):
+    def settled(s: pd.Series) -> pd.Series:
         return s.map(settle_characters, na_action="ignore")
 
     fixed = canonical_keys(df, text_col, row_col).where("text IS NOT NULL").select(F.col(row_col).alias("_look_row"), F.col("text").alias("_look_text"))

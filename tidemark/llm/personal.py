@@ -12,6 +12,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -301,8 +302,6 @@ def _replaced(text: str | None, stretches: list, as_json: bool) -> str | None:
 
 def sanitise(df: DataFrame, name_parts: DataFrame, fields: tuple[str, ...] = ("text", "input"), json_fields: tuple[str, ...] = ("input",), row_col: str = "row_id") -> DataFrame:
     """df with each stretch of the fields replaced by its kind in brackets; all else as it was. row_col must be unique; JSON stays JSON."""
-    import pandas as pd
-
     found = personal_stretches(df, name_parts, fields, json_fields, row_col)
     each = found.groupBy(F.col(row_col).alias("_personal_row")).agg(*[F.collect_list(F.when(F.col("field") == c, F.struct("kind", "found"))).alias(f"_personal_{c}") for c in fields])
     out = df.join(each, df[row_col] == F.col("_personal_row"), "left")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import conversations, lookalikes, personal, splitting
+from tidemark.llm import conversations, lookalikes, personal, residue, splitting
 from tidemark.plans.preparation import COPIES_SQL
 from tidemark.sources.tables import limit_amount, table
 
@@ -47,8 +47,13 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return lookalikes.same_look_pairs(table(spark, folder, "messages"))
 
 
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold template residue or a stand-in page."""
+    return residue.residue_documents(table(spark, folder, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_pieces, p4_found, p4_sanitised, p5_found, p5_conversations, p6_found)}
+    return {f.__name__: f for f in (p2_found, p2_pieces, p4_found, p4_sanitised, p5_found, p5_conversations, p6_found, p9_found)}
 
 
 _TURNS_SQL = f"""WITH {COPIES_SQL},
