@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import conversations, lookalikes, personal, residue, splitting
+from tidemark.llm import conversations, lookalikes, mixing, packing, personal, residue, splitting
 from tidemark.plans.preparation import COPIES_SQL
 from tidemark.sources.tables import limit_amount, table
 
@@ -47,13 +47,48 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return lookalikes.same_look_pairs(table(spark, folder, "messages"))
 
 
+def _packed(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_texts(table(spark, folder, "documents"), limit_amount(spark, folder, "container_capacity"))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that alone exceed a container: the packing had to cut them."""
+    return _packed(spark, folder).where("n_parts > 1 AND part_no = 1").select("doc_id")
+
+
+def p7_packed(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its container."""
+    return _packed(spark, folder)
+
+
+def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """How full the containers are."""
+    return packing.fill_report(_packed(spark, folder), limit_amount(spark, folder, "container_capacity"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Sources that can't reach their share."""
+    sizes = mixing.sized_documents(table(spark, folder, "documents"))
+    return mixing.mixing_plan(sizes, table(spark, folder, "mix_targets")).where("NOT reachable").select("source")
+
+
+def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """The mix: documents by copy, in random order."""
+    return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Target and actual shares."""
+    return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[1]
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold template residue or a stand-in page."""
     return residue.residue_documents(table(spark, folder, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_pieces, p4_found, p4_sanitised, p5_found, p5_conversations, p6_found, p9_found)}
+    return {f.__name__: f for f in (p2_found, p2_pieces, p4_found, p4_sanitised, p5_found, p5_conversations, p6_found, p7_found, p7_packed, p7_fill, p8_found, p8_mix, p8_shares, p9_found)}
 
 
 _TURNS_SQL = f"""WITH {COPIES_SQL},
