@@ -70,11 +70,13 @@ SECRETS = (
     ("-----BEGIN [A-Z ]*PRIVATE KEY(?: BLOCK)?-----[\\s\\S]{64,}?-----END [A-Z ]*PRIVATE KEY(?: BLOCK)?-----", "private key"),
     ("[Bb]earer\\s+[A-Za-z0-9._~+/=-]{20,}", "bearer"),
 )
+#: How each form begins: looked at before anything else of its pattern.
+_BEGINS = ("sk-ant-", "sk-", "sk-", "gh[pousr]_", "github_pat_", "A[KS]IA", "AIza", "[sr]k_", "xox", "https://hooks", "eyJ", "-----BEGIN", "[Bb]earer")
 #: Forms that may follow anything; the others must not follow a word character other than of an escaped line break.
 _ANYWHERE = ("slack webhook", "private key")
 _BEFORE = r"(?<=^|[^A-Za-z0-9_]|\\[nrt])"
 #: User name and password in an address: the password goes, the name stays.
-_PASSWORD = r"(?i)([a-z][a-z0-9+.-]*://[^\s:/@]+:)[^\s@/]{3,}(?=@)"
+_PASSWORD = r"(?i)([a-z][a-z0-9+.-]{0,30}://[^\s:/@]+:)[^\s@/]{3,}(?=@)"
 _SECRET_NAME = "SECRET|TOKEN|PASSWORD|PASSWD|API_KEY|APIKEY|PRIVATE_KEY|ACCESS_KEY"
 _VALUE = r"[A-Za-z0-9_+/=.-]"
 #: NAME=value where the name tells that the value is secret.
@@ -83,10 +85,12 @@ _VARIABLE = rf"(?<![A-Za-z0-9_])([A-Z][A-Z0-9_]*(?:{_SECRET_NAME})[A-Z0-9_]*)(\s
 
 def redact(text: Column) -> Column:
     """Secrets as [redacted:kind]; specific forms before general ones."""
-    for pattern, name in SECRETS:
-        text = F.regexp_replace(text, pattern if name in _ANYWHERE else _BEFORE + pattern, f"[redacted:{name}]")
-    text = F.regexp_replace(text, _PASSWORD, "$1[redacted:password]")
-    return F.regexp_replace(text, _VARIABLE, "$1$2$3[redacted:env]$3")
+    clean = text
+    for (pattern, name), begins in zip(SECRETS, _BEGINS):
+        clean = F.regexp_replace(clean, f"(?={begins})" + (pattern if name in _ANYWHERE else _BEFORE + pattern), f"[redacted:{name}]")
+    clean = F.regexp_replace(clean, _PASSWORD, "$1[redacted:password]")
+    clean = F.regexp_replace(clean, _VARIABLE, "$1$2$3[redacted:env]$3")
+    return F.when(text.rlike("|".join((*_BEGINS, "://", _SECRET_NAME))), clean).otherwise(text)
 
 
 def without_data_uris(text: Column) -> Column:

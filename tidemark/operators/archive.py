@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
+from tidemark.session import spread
 
 #: Characters that a chunk holds before it closes at a blank line.
 CHUNK_CHARACTERS = 400
@@ -56,7 +57,7 @@ def chunks(files: DataFrame, file_col: str = "doc_id", text_col: str = "text", s
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
-    return files.where(F.col(text_col).isNotNull()).select(F.col(file_col).cast("long").alias("file"), F.col(text_col).alias("text")).mapInArrow(cut, "file long, from_line int, to_line int, chunk string")
+    return spread(files.where(F.col(text_col).isNotNull()).select(F.col(file_col).cast("long").alias("file"), F.col(text_col).alias("text"))).mapInArrow(cut, "file long, from_line int, to_line int, chunk string")
 
 
 def outline(lines: DataFrame) -> DataFrame:

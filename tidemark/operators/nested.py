@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import spread
+
 _NODE = "row long, label array<int>, path string, parent_path string, parent_label array<int>, schema_path string, kind string, element boolean, value string"
 _ELEMENT = "row long, path string, parent_path string"
 #: Nodes that are sent on together.
@@ -184,14 +186,14 @@ def element_objects(df: DataFrame, json_col: str = "content", row_col: str = "ro
     """
     # Texts without a brace hold no object; the test spares most plain strings the way to Python.
     needed = df.select(F.col(row_col).cast("long").alias("row"), F.col(json_col).cast("string").alias("text")).where(F.col("text").contains("{") | F.col("text").contains("u007b") | F.col("text").contains("u007B"))
-    found = needed.mapInArrow(_walker(elements, _arrow(_ELEMENT), True, encoded_key), _ELEMENT)
+    found = spread(needed).mapInArrow(_walker(elements, _arrow(_ELEMENT), True, encoded_key), _ELEMENT)
     return found.select(F.col("row").alias(row_col), "path", "parent_path")
 
 
 def labelled_nodes(df: DataFrame, json_col: str = "content", row_col: str = "row_id", encoded_key: str = "input") -> DataFrame:
     """All nodes of all records with their Dewey labels; texts that are no JSON give none. Narrow, as `element_objects`."""
     needed = df.select(F.col(row_col).cast("long").alias("row"), F.col(json_col).cast("string").alias("text")).where("text IS NOT NULL")
-    found = needed.mapInArrow(_walker(nodes, _arrow(_NODE), False, encoded_key), _NODE)
+    found = spread(needed).mapInArrow(_walker(nodes, _arrow(_NODE), False, encoded_key), _NODE)
     return found.withColumnRenamed("row", row_col)
 
 

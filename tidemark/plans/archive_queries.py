@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
 from tidemark.operators import archive, ranges
+from tidemark.session import spread
 from tidemark.sources.tables import table
 
 BRIDGE, GAP, ASOF_TOLERANCE, BAND = 400, 300, 300, 6
@@ -57,7 +58,7 @@ def _with_secrets(spark, folder):
 
 def redaction_counts(spark, folder):
     """Secrets replaced, by kind."""
-    clean = _with_secrets(spark, folder).select("doc_id", tx.redact(F.col("text")).alias("text"))
+    clean = spread(_with_secrets(spark, folder)).select("doc_id", tx.redact(F.col("text")).alias("text"))
     kinds = F.regexp_extract_all("text", F.lit(r"\[redacted:([a-z -]+)\]"), F.lit(1))
     return clean.select(F.explode(kinds).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
 

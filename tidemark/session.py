@@ -52,3 +52,9 @@ def shuffle_width(spark: SparkSession, rows: int, per_partition: int) -> int:
     """Partitions so that none holds more than per_partition rows, and at least one for each core."""
     cores = spark.sparkContext.defaultParallelism
     return max(cores, math.ceil(rows / per_partition))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores if its scan has fewer partitions than there are cores (a small file has one); as it is otherwise."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
