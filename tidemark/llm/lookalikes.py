@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import settle
+from tidemark.session import settle, spread
 
 # Letters of the same shape, Latin with Cyrillic and Latin with Greek.
 LATIN_CYRILLIC = "aа cс eе iі jј oо pр sѕ xх yу hһ dԁ qԛ wԝ vѵ lӏ AА BВ CС EЕ HН IІ JЈ KК MМ OО PР QԚ SЅ TТ VѴ WԜ XХ YУ"
@@ -210,7 +210,7 @@ def canonical_keys(df: DataFrame, text_col: str = "text", row_col: str = "row_id
     Scale: one pass over the texts; what is shuffled are token counts (combined in each task), and the rows with look-alikes.
     """
     needed = df.select(F.col(row_col).cast("long").alias("row"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL AND text != ''")
-    scan = settle(needed.mapInArrow(_scan, _SCAN_DDL))
+    scan = settle(spread(needed).mapInArrow(_scan, _SCAN_DDL))
     counts = scan.where("kind = 'V'").groupBy("script", "token").agg(F.sum("n").alias("n"))
     asked = scan.where("kind = 'S'").select("script", "token", "form", F.col("n").alias("choice")).distinct()
     accepted = (

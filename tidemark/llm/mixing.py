@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.tokens import VOCABULARY, token_count
-from tidemark.session import settle
+from tidemark.session import settle, spread
 
 #: Sources that a mix may have; its targets are sent to each task.
 MOST_SOURCES = 10_000
@@ -89,7 +89,7 @@ def replicate(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", seed: in
 
 def sized_documents(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", vocabulary: str = VOCABULARY) -> DataFrame:
     """Id, source and tokens of each document, counted once and written down."""
-    return settle(df.select(id_col, "source", token_count(F.col(text_col), vocabulary).alias("tokens")))
+    return settle(spread(df.select(id_col, "source", text_col)).select(id_col, "source", token_count(F.col(text_col), vocabulary).alias("tokens")))
 
 
 def mix(df: DataFrame, targets: DataFrame, text_col: str = "text", id_col: str = "doc_id", vocabulary: str = VOCABULARY, seed: int = 42) -> tuple[DataFrame, DataFrame]:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.tokens import VOCABULARY, token_count
-from tidemark.session import settle
+from tidemark.session import settle, spread
 
 #: Items that are packed together, on average. With so many, what a shard leaves over is small against what it fills.
 SHARD_ITEMS = 20_000
@@ -167,7 +167,7 @@ def pack_sizes(items: DataFrame, capacity: int, item_col: str = "doc_id", size_c
 
 def pack_texts(df: DataFrame, capacity: int, text_col: str = "text", id_col: str = "doc_id", vocabulary: str = VOCABULARY, size: Column | None = None) -> DataFrame:
     """`pack_sizes` of texts, in tokens of the vocabulary."""
-    sized = df.select(F.col(id_col), (token_count(F.col(text_col), vocabulary) if size is None else size).alias("tokens"))
+    sized = spread(df).select(F.col(id_col), (token_count(F.col(text_col), vocabulary) if size is None else size).alias("tokens"))
     return pack_sizes(sized, capacity, id_col)
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.nested import decoded, parse
-from tidemark.session import settle
+from tidemark.session import settle, spread
 
 #: A term is protected if at least this share of its places is beside a protected part that no other part explains.
 DISCLOSURE = 0.3
@@ -276,7 +276,7 @@ def personal_stretches(df: DataFrame, name_parts: DataFrame, fields: tuple[str,
     for part, kind in parts:
         known.setdefault(part, set()).add(kind)
     needed = df.select(F.col(row_col).cast("long").alias("row"), *[F.col(c).cast("string").alias(c) for c in fields])
-    scan = settle(needed.mapInArrow(_scanner(known, set(json_fields)), _SCAN_DDL))
+    scan = settle(spread(needed).mapInArrow(_scanner(known, set(json_fields)), _SCAN_DDL))
     listed = df.sparkSession.createDataFrame(parts or [("", "given")], "term string, part_kind string")
     protected = protected_parts(scan, listed).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     terms = scan.where("what = 'run'").select("row", "field", F.col("found").alias("run"), F.posexplode("terms").alias("at", "term"), F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int").alias("salt"))

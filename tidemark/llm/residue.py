@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.skew import salted_join
-from tidemark.session import settle
+from tidemark.session import settle, spread
 
 #: A document with more statements than this is content, whatever they are, unless it is filler.
 MOST_STATEMENTS = 12
@@ -218,7 +218,7 @@ def residue_documents(df: DataFrame, text_col: str = "text", id_col: str = "doc_
     """
     host = F.col(host_col).cast("string") if host_col else F.lit(None).cast("string")
     needed = df.select(F.col(id_col).cast("long").alias("doc"), host.alias("project"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL AND doc IS NOT NULL")
-    scan = settle(needed.mapInArrow(_scan, _SCAN_DDL))
+    scan = settle(spread(needed).mapInArrow(_scan, _SCAN_DDL))
     counts = scan.where("what = 'count'").groupBy("statement").agg(F.sum("n").alias("n_docs"))
     short = scan.where("what = 'doc' AND NOT residue")
     rows = short.select("doc", "host", F.explode(F.arrays_zip("statements", "known", "titled")).alias("s")).select("doc", "host", F.col("s.statements").alias("statement"), F.col("s.known").alias("known"), F.col("s.titled").alias("titled"))
