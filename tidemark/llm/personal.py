@@ -22,11 +22,13 @@ from tidemark.session import settle, spread
 
 #: A term is protected if at least this share of its places is beside a protected part that no other part explains.
 DISCLOSURE = 0.3
+#: Different listed parts that it must stand beside.
+LEAST_PARTNERS = 2
 #: Parts into which the places of one term are split before they are joined.
 SALTS = 16
 
 _UPPER = "".join(c for c in map(chr, range(0x41, 0x530)) if c.isupper())
-_S = "[  ]"  # a blank that may be protected
+_S = "[ \u00a0\u2007\u2009\u202f]"  # a blank that may be protected
 _NUMBER = r"\d{1,4}(?:[/-]\d{1,4})?[A-Za-z]?(?![\w])"
 _CAP = rf"[{_UPPER}][^\W\d_]+(?:[-’'][^\W\d_]+)*"
 
@@ -68,15 +70,15 @@ ID_NUMBER = re.compile(
     rf"|[A-Z]{{2}}{_S}?\d{{6,7}})"  # passport and identity card
     r"(?![\w/]|[-.]\d)"
 )
-_G = "[  .-]"
+_G = "[ \u00a0\u2007\u2009\u202f.-]"
 PHONE = re.compile(
     rf"(?<![\w/.@#:-])(?:(?:\+|00)[1-9]\d{{0,2}}{_G}?(?:\(\d{{1,4}}\){_G}?)?\d{{2,4}}(?:{_G}?\d{{2,4}}){{1,4}}"
     rf"|\(0?\d{{2,4}}\){_G}?\d{{3,4}}{_G}?\d{{3,4}}"
-    rf"|0\d{{3,4}}[  /]\d{{3}}{_S}?\d{{3}}"
-    rf"|\d{{3}}([  .-])\d{{3}}\1\d{{4}})"
+    rf"|0\d{{3,4}}[ \u00a0\u2007\u2009\u202f/]\d{{3}}{_S}?\d{{3}}"
+    rf"|\d{{3}}([ \u00a0\u2007\u2009\u202f.-])\d{{3}}\1\d{{4}})"
     r"(?![\w/]|[-.:]\d)"
 )
-_DIGITS = re.compile(r"\d{3}|\d\d[  ]\d\d")
+_DIGITS = re.compile(r"\d{3}|\d\d[ \u00a0\u2007\u2009\u202f]\d\d")
 
 _WORD = re.compile(rf"[{_UPPER}][^\W\d_]+(?:-[{_UPPER}][^\W\d_]+)*(?![\w])")
 _RUN = re.compile(rf"(?<![\w@./-])(?:[{_UPPER}](?:\.|[^\W\d_]+(?:-[{_UPPER}][^\W\d_]+)*(?![\w.@/-]|\(\))|[^\W\d_]+(?:-[{_UPPER}][^\W\d_]+)*(?=\.(?!\w))))(?:,?{_S}[{_UPPER}](?:\.|[^\W\d_]+(?:-[{_UPPER}][^\W\d_]+)*(?![\w@/-]|\.\w|\(\))))+")
@@ -252,12 +254,12 @@ def _namer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def protected_parts(scan: DataFrame, listed: DataFrame) -> DataFrame:
     """The listed name parts and the terms whose disclosure exceeds the threshold, with their kind.
 
-    disclosure(t) = places of t beside a listed part that is not part of a complete name / all places of t. A term beside a single listed
-    part only must have no other places. Pointwise mutual information of term and parts would rank alike, as the parts' frequency is common to all.
+    disclosure(t) = places of t beside a listed part that is not part of a complete name / all places of t. A term must stand
+    beside LEAST_PARTNERS different ones. Pointwise mutual information of term and parts would rank alike, as the parts' frequency is common to all.
     """
     places = scan.where("what = 'term'").groupBy(F.col("found").alias("term")).agg(F.sum("n").alias("n"))
     beside = scan.where("what = 'beside'").groupBy(F.col("found").alias("term"), F.col("kind").alias("part_kind")).agg(F.sum("n").alias("n_beside"), F.count_distinct(F.col("terms")[0]).alias("partners"))
-    learned = beside.join(places, "term").where((F.col("n_beside") >= DISCLOSURE * F.col("n")) & ((F.col("partners") >= 2) | (F.col("n_beside") >= F.col("n")))).select("term", "part_kind")
+    learned = beside.join(places, "term").where((F.col("n_beside") >= DISCLOSURE * F.col("n")) & (F.col("partners") >= LEAST_PARTNERS)).select("term", "part_kind")
     return listed.unionByName(learned).distinct()
 
 
@@ -286,7 +288,7 @@ def personal_stretches(df: DataFrame, name_parts: DataFrame, fields: tuple[str,
 
 
 def _replaced(text: str | None, stretches: list, as_json: bool) -> str | None:
-    if text is None or not stretches:
+    if text is None or stretches is None or not len(stretches):
         return text
     forms: dict[str, str] = {}
     for s in stretches:
@@ -309,7 +311,7 @@ def sanitise(df: DataFrame, name_parts: DataFrame, fields: tuple[str, ...] = ("t
     def replacer(as_json: bool):
         @F.pandas_udf("string")
         def replace(text: pd.Series, stretches: pd.Series) -> pd.Series:
-            return pd.Series([_replaced(t, s if s is not None else [], as_json) for t, s in zip(text, stretches)], dtype=object)
+            return pd.Series([_replaced(t, s, as_json) for t, s in zip(text, stretches)], dtype=object)
 
         return replace
 
