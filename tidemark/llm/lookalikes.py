@@ -39,9 +39,9 @@ _LATIN = re.compile(r"[A-Za-zªºÀ-ÖØ-öø-ɏḀ-ỿ]")
 _CYRILLIC = re.compile(r"[Ѐ-ԯ]")
 _GREEK = re.compile(r"[Ͱ-Ͽἀ-῿]")
 _OTHER = re.compile(r"[Ͱ-ԯἀ-῿]")
-_TOKEN = re.compile(r"[^\W_]+(?:[̀-ͯ]+[^\W_]*)*")
+_TOKEN = re.compile(r"[^\W_]+(?:[\u0300-\u036f]+[^\W_]*)*")
 _SCRIPTS = (("L", _LATIN), ("C", _CYRILLIC), ("G", _GREEK))
-_JOINER = re.compile("‍(?![←-⯿\U0001f000-\U0001faff])|(?<![←-⯿️\U0001f000-\U0001faff])‍")
+_JOINER = re.compile("\u200d(?![←-⯿\U0001f000-\U0001faff])|(?<![←-⯿\ufe0f\U0001f000-\U0001faff])\u200d")
 
 
 @cache
@@ -75,7 +75,7 @@ def settle_characters(text: str) -> str:
     if text.isascii() and not _CONTROL.search(text):
         return text
     text = text.translate(_settled())
-    return unicodedata.normalize("NFC", _JOINER.sub("", text) if "‍" in text else text)
+    return unicodedata.normalize("NFC", _JOINER.sub("", text) if "\u200d" in text else text)
 
 
 def shows_something(text: str) -> bool:
@@ -94,16 +94,13 @@ def _to_script(token: str, script: str) -> str:
 
 
 def _dominant(s: str) -> str:
-    """The script of most letters that have no look-alike; of most letters if all have one; Latin on a tie."""
+    """The script of most letters that have no look-alike, so that swapped look-alikes don't sway it; Latin on a tie or if there are none."""
     if not _OTHER.search(s):
         return "L"
     plain = _LOOKALIKE.sub("", unicodedata.normalize("NFD", s))
-    for x in (plain, s):
-        counts = [(len(r.findall(x)), k) for k, r in _SCRIPTS]
-        most = max(n for n, _ in counts)
-        if most:
-            return next(k for n, k in counts if n == most)
-    return "L"
+    counts = [(len(r.findall(plain)), k) for k, r in _SCRIPTS]
+    most = max(n for n, _ in counts)
+    return next(k for n, k in counts if n == most)
 
 
 def suspicious(text: str) -> tuple[str, dict[str, list[str]]]:
