@@ -12,7 +12,7 @@ from tidemark.session import settle
 STRETCH = 2_000
 
 # Characters with no shape besides separators, control and format characters.
-_SHAPELESS = r"͏ᅟᅠ឴឵᠋-᠏ㅤ︀-️ﾠ⠀\x{E0100}-\x{E01EF}"
+_SHAPELESS = r"\u034f\u115f\u1160\u17b4\u17b5\u180b-\u180f\u3164\ufe00-\ufe0f\uffa0\u2800\x{E0100}-\x{E01EF}"
 VISIBLE = rf"[^\s\p{{Z}}\p{{Cc}}\p{{Cf}}{_SHAPELESS}]"
 
 

@@ -30,7 +30,7 @@ SEPARATORS = tuple(
 def _character_cut(text: str, lo: int, hi: int) -> int:
     """hi, or a little before it if a mark or joiner would be torn from its character."""
     at = hi
-    while at > lo + 1 and at < len(text) and (unicodedata.category(text[at])[0] == "M" or text[at] in "‍️" or text[at - 1] == "‍"):
+    while at > lo + 1 and at < len(text) and (unicodedata.category(text[at])[0] == "M" or text[at] in "\u200d\ufe0f" or text[at - 1] == "\u200d"):
         at -= 1
     return at if at > lo + 1 else hi
 
