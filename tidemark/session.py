@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,3 +60,17 @@ def spread(df: DataFrame) -> DataFrame:
     """df over all cores if its scan has fewer partitions than there are cores (a small file has one); as it is otherwise."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once a session, so that their Python workers needn't have it installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tidemark_shipped", False):
+        return
+    here = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="tidemark-package-")) / "tidemark.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for p in sorted(here.rglob("*.py")):
+            z.write(p, p.relative_to(here.parent).as_posix())
+    sc.addPyFile(str(archive))
+    sc._tidemark_shipped = True
