@@ -227,8 +227,8 @@ def test_token_counts(spark):
 
 # --- residue ---------------------------------------------------------------------------------------------------------
 def test_placeholders_outside_of_code_and_quotation():
-    yes = ["Hi {{ name }},", "${USER} left", "<%= title %>", "by %(name)s", "at #{date}", "[[title]] is", "<<owner>>", "%OWNER% said", "__TITLE__", "[INSERT EMAIL HERE]", "{% if x %}", "---\nproject: {{ p }}\n---\nText."]
-    no = ["Write `{{ name }}` there", 'It says "${USER}"', "```\n{{ x }}\n```", "[image] and [redacted:env]", "[label](x.md#L3)", "    {{ code }}", "> {{ quoted }}", "100% SURE 50%", "a[[0]]", "snake__case__name", ""]
+    yes = ["Hi {{ name }},", "${USER} left", "<%= title %>", "by %(name)s", "at #{date}", "[[title]] is", "<<owner>>", "%OWNER% said", "__TITLE__", "[INSERT EMAIL HERE]", "{% if x %}", "@@name@@", "by {path}.", "· [Next Step]", "---\nproject: {{ p }}\n---\nText."]
+    no = ["Write `{{ name }}` there", 'It says "${USER}"', "```\n{{ x }}\n```", "[image] and [redacted:env]", "[label](x.md#L3)", "    {{ code }}", "> {{ quoted }}", "100% SURE 50%", "a[[0]]", "snake__case__name", "see [Label]\n\n[Label]: http://x.example", "[Label][1]", "f(x){return}", ""]
     assert [t for t in yes if not residue.unfilled(t)] == [] and [t for t in no if residue.unfilled(t)] == []
 
 

@@ -48,6 +48,9 @@ PLACEHOLDERS = re.compile(
     r"|<<\s?[A-Za-z_][\w. -]{0,60}>>"
     r"|(?<![\w%])%[A-Z][A-Z_]{2,40}%(?![\w%])"
     r"|(?<!\w)__[A-Z][A-Z_]{1,40}__(?!\w)"
+    r"|@@[A-Za-z_][\w. ]{0,60}@@"
+    r"|(?<![\w$#{%@])\{[A-Za-z_][\w.]{0,40}\}(?!\})"
+    r"|(?<![\w\]!])\[[A-Z][a-z]+(?: [A-Z][a-z]+){0,3}\](?![(\[:])"
     r"|[\[<](?:INSERT|YOUR|ENTER|ADD|FILL|REPLACE|CHANGE|PLACEHOLDER)\b[A-Z0-9 _.'-]{0,60}[\]>]"
     r"|[\[<](?:[Ii]nsert|[Yy]our|[Ee]nter|[Ff]ill in|[Dd]oplň\w*|[Vv]lož\w*|[Vv]aše|[Hh]ier|[Ii]hr|[Ii]hre) [^\]>\n]{2,60}[\]>](?!\()"
 )
@@ -106,8 +109,10 @@ def prose(text: str) -> str:
 
 
 def unfilled(text: str) -> bool:
-    """Whether a placeholder is left outside of code, quotation and link labels."""
-    return any(x in text for x in ("{", "<", "%", "[", "__")) and bool(PLACEHOLDERS.search(prose(text)))
+    """Whether a placeholder is left outside of code, quotation and link labels; [Label] is a link if the text defines it elsewhere."""
+    if not any(x in text for x in ("{", "<", "%", "[", "__", "@@")):
+        return False
+    return any(not (m[0][0] == "[" and f"{m[0]}:" in text) for m in PLACEHOLDERS.finditer(prose(text)))
 
 
 def _plain(statement: str) -> str:
