@@ -49,7 +49,7 @@ PLACEHOLDERS = re.compile(
     r"|(?<![\w%])%[A-Z][A-Z_]{2,40}%(?![\w%])"
     r"|(?<!\w)__[A-Z][A-Z_]{1,40}__(?!\w)"
     r"|@@[A-Za-z_][\w. ]{0,60}@@"
-    r"|(?<![\w$#{%@])\{[A-Za-z_][\w.]{0,40}\}(?!\})"
+    r"|(?<![\w$#{%@)])\{[A-Za-z_][\w.]{0,40}\}(?!\})"
     r"|(?<![\w\]!])\[[A-Z][a-z]+(?: [A-Z][a-z]+){0,3}\](?![(\[:])"
     r"|[\[<](?:INSERT|YOUR|ENTER|ADD|FILL|REPLACE|CHANGE|PLACEHOLDER)\b[A-Z0-9 _.'-]{0,60}[\]>]"
     r"|[\[<](?:[Ii]nsert|[Yy]our|[Ee]nter|[Ff]ill in|[Dd]oplň\w*|[Vv]lož\w*|[Vv]aše|[Hh]ier|[Ii]hr|[Ii]hre) [^\]>\n]{2,60}[\]>](?!\()"
