@@ -52,15 +52,14 @@ def search_passages(spark, folder):
 
 
 def map_find(spark, folder):
-    """Modules for pairs of the queries that missed."""
+    """Modules for the queries that missed and for the headings of the trail."""
     m = settle(archive.modules(archive.file_lines(table(spark, folder, "documents"))))
-    return codemap.best(codemap.find(m, _map_queries(spark, folder)))
+    return codemap.best(codemap.find(m, _map_queries(spark, folder), k=12))
 
 
 def _map_queries(spark, folder):
-    """Sentences for the map: the headings of the trail that come first by file for each day."""
-    t = table(spark, folder, "trail").where("day IS NOT NULL")
-    return t.groupBy("day").agg(F.min_by("heading", "file").alias("q")).select("q").distinct()
+    """What the map is asked: all queries that missed, and the headings of all trail entries as sentences."""
+    return _words(spark, folder).union(table(spark, folder, "trail").select(F.col("heading").alias("q"))).where("q IS NOT NULL").distinct()
 
 
 def abbrev_homes(spark, folder):
