@@ -149,6 +149,17 @@ def nodes(root, encoded_key: str) -> Iterator[tuple]:
         stack += reversed(below)
 
 
+def labelled_elements(root, encoded_key: str) -> Iterator[tuple[str, str]]:
+    """What `elements` gives, by labels: the parent of an element is the one whose label is the longest truncation of its own."""
+    above: list[tuple[tuple, str]] = []
+    for label, path, _, _, _, _, element, _ in nodes(root, encoded_key):
+        if element:
+            while above and label[: len(above[-1][0])] != above[-1][0]:
+                above.pop()
+            yield path, above[-1][1] if above else ""
+            above.append((label, path))
+
+
 def _walker(walk: Callable, schema: pa.Schema, containers_only: bool, encoded_key: str) -> Callable:
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
@@ -186,7 +197,7 @@ def element_objects(df: DataFrame, json_col: str = "content", row_col: str = "ro
     """
     # Texts without a brace hold no object; the test spares most plain strings the way to Python.
     needed = df.select(F.col(row_col).cast("long").alias("row"), F.col(json_col).cast("string").alias("text")).where(F.col("text").contains("{") | F.col("text").contains("u007b") | F.col("text").contains("u007B"))
-    found = spread(needed).mapInArrow(_walker(elements, _arrow(_ELEMENT), True, encoded_key), _ELEMENT)
+    found = spread(needed).mapInArrow(_walker(labelled_elements, _arrow(_ELEMENT), True, encoded_key), _ELEMENT)
     return found.select(F.col("row").alias(row_col), "path", "parent_path")
 
 
