@@ -106,6 +106,20 @@ def formed(text: str) -> list[tuple[str, str, int, int]]:
     return out
 
 
+def runs(text: str, stretches: list[tuple[str, str, int, int]]) -> Iterator[str]:
+    """Runs of capitalised words outside of the formed stretches; one that a stretch reaches into is searched again on either side of it."""
+    for m in _RUN.finditer(text):
+        inside = sorted((s, e) for _, _, s, e in stretches if m.start() < e and s < m.end())
+        if not inside:
+            yield m[0]
+            continue
+        at = m.start()
+        for s, e in (*inside, (m.end(), m.end())):
+            if at < s:
+                yield from (x[0] for x in _RUN.finditer(text, at, s))
+            at = max(at, e)
+
+
 def strings(value) -> Iterator[str]:
     """The strings in a JSON value, in order; those that encode JSON themselves are opened."""
     stack = [value]
@@ -218,11 +232,9 @@ def _scanner(known: dict[str, set[str]], json_fields: set[str]):
                         for kind, stretch, _, _ in stretches:
                             seen[kind, stretch] = None
                         terms.update(w.casefold() for w in _WORD.findall(text))
-                        for m in _RUN.finditer(text):
-                            if any(m.start() < e and s < m.end() for _, _, s, e in stretches):
-                                continue
-                            beside.update(_evidence(m[0], known))
-                            seen["run", m[0]] = None
+                        for run in runs(text, stretches):
+                            beside.update(_evidence(run, known))
+                            seen["run", run] = None
                     for kind, stretch in seen:
                         if kind == "run":
                             out.append(("run", row, field, None, stretch, None, [p.casefold() for p in _PART.findall(stretch)]))
