@@ -247,6 +247,25 @@ def test_documents_with_residue(spark):
     assert {r.doc_id for r in residue.without_residue(df).where("doc_id < 100").collect()} == {6, 7, 8, 9, 10}
 
 
+def test_pages_of_any_length_go_and_real_sentences_stay(spark):
+    codes = "404 not found|403 forbidden|500 internal server error|502 bad gateway|503 service unavailable|504 gateway timeout|401 unauthorized|429 too many requests".split("|")
+    page = "\n\n".join(f"Error {c}. The page you asked for does not exist, reference {i}. Please sign in and try again later." for i, c in enumerate(codes * 3))
+    long = "The page you were looking for does not exist, " + "the link was mistyped, the page was moved, " * 20 + "."
+    rows = [(1, page, "a"), (2, "Maintenance of the cache index runs nightly.", "a"), (3, "The migration moved the file to src/io and the link no longer breaks.", "b"), (4, "Forbidden characters in the branch name", "c"), (5, long, None)]
+    got = {r.doc_id for r in residue.residue_documents(spark.createDataFrame(rows, "doc_id long, text string, project string")).collect()}
+    assert got == {1, 5}
+
+
+def test_the_corpus_decides_on_statements_and_words_without_form(spark):
+    mash = ["wub", "zog", "plim", "dax", "vorp"]
+    rng = random.Random(3)
+    rows = [(i, f"# Cache tracker\n\nThe kettle is cold, dear visitor.\n\nCome another day {i}.", f"h{i % 4}") for i in range(12)]
+    rows += [(100 + i, " ".join(rng.choice(mash) for _ in range(14)), f"h{i % 4}") for i in range(12)]
+    rows += [(200 + i, f"The reader keeps one cache. load_{i}() returns {i} rows.", f"h{i % 4}") for i in range(12)] + [(300, "The reader keeps one cache.", "h1")]
+    got = {r.doc_id for r in residue.residue_documents(spark.createDataFrame(rows, "doc_id long, text string, project string")).collect()}
+    assert got == {r[0] for r in rows if r[0] < 200}
+
+
 def test_very_long_documents_are_quick():
     for t in ("{" * 50_000, "a" * 200_000, "word " * 60_000, "[" * 50_000 + "(" * 1000, '"' * 50_001, "`" * 3001):
         residue.unfilled(t)

@@ -1,12 +1,15 @@
 """Template residue and stand-in pages: unfilled placeholders, filler, error pages and notices that scripts are required.
 
 A document is taken apart into its frame (front matter, title, menu, footer) and the statements in between. Placeholder detectors look outside of
-code and quotation. A statement is a stand-in if it says so itself, or if the corpus shows it: duplicated over several hosts, little in it, and
-nearly always beside other stand-ins in documents whose title the body doesn't take up. A document all of stand-ins holds no content.
+code and quotation. Whether a statement holds content, the corpus tells: a stand-in names nothing specific, is duplicated over several hosts, and
+hardly ever stands in a document that names something specific. Words are weighed in the same way, so that filler in ever new order is found too.
+Where the corpus has too little of a statement to tell, its own form decides. A document is residue if nothing in it holds content and its body
+doesn't take up the terms of its title.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -19,40 +22,37 @@ from pyspark.sql import functions as F
 from tidemark.operators.skew import salted_join
 from tidemark.session import settle, spread
 
-#: A document with more statements than this is content, whatever they are, unless it is filler.
-MOST_STATEMENTS = 12
-#: Statements longer than this say more than a stand-in would.
-MOST_CHARACTERS = 160
-#: A statement is learned if at least this share of the documents that have it hold nothing but stand-ins besides.
-LEARNED_SHARE = 0.6
-#: Documents and hosts that must have a statement before it is learned.
-LEAST_DOCUMENTS, LEAST_HOSTS = 3, 2
-#: Characters of a line that may be a title.
-MOST_TITLE = 60
-ROUNDS = 3
+#: Documents that must have a statement or word before the corpus decides on it; they must be of two hosts at least.
+LEAST_DOCUMENTS = 3
+#: A statement or word is empty if at most this share of its documents name something specific, and content from the second share on. In between the corpus is of two minds.
+EMPTY_UPTO, CONTENT_FROM = 0.1, 0.5
+#: A statement that the corpus has too rarely is empty if at least this share of its words is empty; the second share will do if a part of it has the form of a stand-in.
+EMPTY_WORDS, EMPTY_WORDS_OF_FORM = 0.7, 0.3
+#: A statement's own form tells only if at least this share of its letters belongs to the form (less in scripts without blanks).
+FORM_SHARE, FORM_SHARE_UNSPACED = 0.4, 0.25
 
 _FRONT = re.compile(r"\A---\r?\n(.*?)\r?\n---\s*(?:\n|\Z)", re.S)
 _FENCE = re.compile(r"^[ \t]*(```+|~~~+).*?(?:^[ \t]*\1[ \t]*$|\Z)", re.S | re.M)
 _CODE = re.compile(r"``[^\n]+?``|`[^`\n]+`|^(?: {4}|\t).*$|<(code|pre|script|style|noscript)\b.*?</\1>", re.S | re.M | re.I)
-_QUOTED = re.compile(r"\"[^\"\n]{0,300}\"|“[^”\n]{0,300}”|„[^“”\n]{0,300}[“”]|«[^»\n]{0,300}»|»[^«\n]{0,300}«|「[^」\n]{0,300}」|『[^』\n]{0,300}』|^[ \t]*>.*$|(?<!\w)'[^'\n]{1,300}'(?!\w)", re.M)
-_LINK = re.compile(r"!?\[([^\]\n]*)\]\([^)\n]*\)")
+_QUOTED = re.compile(r"\"[^\"\n]*\"|“[^“”\n]*”|„[^„“”\n]*[“”]|«[^«»\n]*»|»[^«»\n]*«|「[^「」\n]*」|『[^『』\n]*』|^[ \t]*>.*$|(?<!\w)'[^'\n]+'(?!\w)", re.M)
+_LINK = re.compile(r"!?\[([^\[\]\n]*)\]\([^()\n]*\)")
 
-# The placeholder forms of common template languages.
+# The placeholder forms of common template languages. No form can hold its own beginning, so that each is found in one walk over a line.
 PLACEHOLDERS = re.compile(
-    r"\{\{[^{}\n]{1,80}\}\}"
-    r"|\{%[^%\n]{1,80}%\}"
-    r"|[$#]\{[^{}\n]{1,80}\}"
-    r"|<%[^%\n]{1,80}%>"
+    r"\{\{[^{}\n]+\}\}"
+    r"|\{%[^%\n]+%\}"
+    r"|[$#]\{[^{}\n]+\}"
+    r"|<%[^%\n]+%>"
     r"|%\([A-Za-z_][\w.]*\)[sdifr]"
-    r"|\[\[\s?[A-Za-z_][\w. ]{0,60}\]\](?!\()"
-    r"|<<\s?[A-Za-z_][\w. -]{0,60}>>"
-    r"|(?<![\w%])%[A-Z][A-Z_]{2,40}%(?![\w%])"
-    r"|(?<!\w)__[A-Z][A-Z_]{1,40}__(?!\w)"
-    r"|@@[A-Za-z_][\w. ]{0,60}@@"
-    r"|(?<![\w$#{%@)])\{[A-Za-z_][\w.]{0,40}\}(?!\})"
-    r"|(?<![\w\]!])\[[A-Z][a-z]+(?: [A-Z][a-z]+){0,3}\](?![(\[:])"
-    r"|[\[<](?:INSERT|YOUR|ENTER|ADD|FILL|REPLACE|CHANGE|PLACEHOLDER)\b[A-Z0-9 _.'-]{0,60}[\]>]"
-    r"|[\[<](?:[Ii]nsert|[Yy]our|[Ee]nter|[Ff]ill in|[Dd]oplň\w*|[Vv]lož\w*|[Vv]aše|[Hh]ier|[Ii]hr|[Ii]hre) [^\]>\n]{2,60}[\]>](?!\()"
+    r"|\[\[\s?[A-Za-z_][\w. ]*\]\](?!\()"
+    r"|<<\s?[A-Za-z_][\w. -]*>>"
+    r"|(?<![\w%])%[A-Z][A-Z_]+%(?![\w%])"
+    r"|(?<!\w)__[A-Z][A-Z_]*[A-Z]__(?!\w)"
+    r"|@@[A-Za-z_][\w. ]*@@"
+    r"|(?<![\w$#{%@)])\{[A-Za-z_][\w.]*\}(?!\})"
+    r"|(?<![\w\]!])\[[A-Z][a-z]+(?: [A-Z][a-z]+)*\](?![(\[:])"
+    r"|[\[<](?:INSERT|YOUR|ENTER|ADD|FILL|REPLACE|CHANGE|PLACEHOLDER)\b[A-Z0-9 _.'-]*[\]>]"
+    r"|[\[<](?:[Ii]nsert|[Yy]our|[Ee]nter|[Ff]ill in|[Dd]oplň\w*|[Vv]lož\w*|[Vv]aše|[Hh]ier|[Ii]hr|[Ii]hre) [^\[\]<>\n]+[\]>](?!\()"
 )
 
 # Words of the usual filler text.
@@ -61,7 +61,7 @@ LOREM = frozenset(
     "exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur "
     "excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum nunc vitae porta massa augue orci quam tellus "
     "vel ac at nec mauris cras eget turpis risus lectus arcu diam donec fusce integer justo leo ligula metus morbi neque nibh odio pellentesque praesent "
-    "purus rutrum sagittis sapien sem semper sodales suscipit tincidunt tortor tristique ultrices urna varius vestibulum vivamus viverra volutpat".split()
+    "purus rutrum sagittis sapien sem semper sodales suscipit tincidunt tortor tristique ultrices urna varius vestibulum vivamus viverra volutpat foo bar baz qux asdf qwer qwerty xxx xxxx bla blah test".split()
 )
 
 FILLER = re.compile(
@@ -80,7 +80,7 @@ STAND_IN = re.compile(
     r"|too many requests|rate limit|more requests than allowed|slow down\b|try again (?:later|in)|reload in \d|temporarily unavailable|busy at the moment"
     r"|maintenance|scheduled downtime|planned work|back (?:soon|shortly)|be right back|moving things around|closed for"
     r"|(?:robot|security|human) check|not a robot|captcha|verify (?:that )?you are|could not verify|browser is being checked|checking your browser|one moment\b"
-    r"|(?:please )?(?:sign|log) in\b|signed out|logged out|session (?:has )?(?:expired|timed out)|login required|members of the workspace"
+    r"|(?:please )?(?:sign|log) in\b(?: again)?(?: to \w+(?: \w+)?)?|signed out|logged out|session (?:has )?(?:expired|timed out)|login required|members of the workspace"
     r"|java ?scripts?\b.{0,60}\b(?:require|enable|turn|need|off|disabled|on)|(?:require|enable|need|rel(?:y|ies)|turn on|allow)\w*\b.{0,40}\b(?:java ?script|scripting|scripts)|script(?:s|ing)?\b.{0,60}\b(?:switched off|turned off|disabled|blocked|required)|without (?:java ?)?scripts?"
     r"|stránka sa nenašla|nenašl[aoi]?\b|neexistuje|bola presunutá|odkaz je zastaraný|prístup (?:bol )?zamietnutý|nemáte (?:oprávnenie|prístup)|obráťte sa na správcu|chyba servera|nepodarilo (?:sa )?spracovať|sa nepodarilo|dočasne nedostupn|nedostupn[áýé]\b|údržb|odstávk"
     r"|prihláste sa|prihlásenie|prihlásenia|odhlás|skúste to|príliš veľa|overenie|nie ste robot|javascript\w*|bez skriptov|vyžaduje (?:javascript|skript)|ľutujeme"
@@ -92,13 +92,18 @@ STAND_IN = re.compile(
     r"|^(?:error )?(?:ref|incident|code|kód|vorgang|request id|номер)\b[ :]*[#9]*(?: \S+){0,3}$|^quote # when you contact us|^contact us$|^(?:go )?back to (?:the )?(?:start|home)|^(?:späť|späť na úvod|zurück|назад|戻る)$"
 )
 
-_NAV = re.compile(r"^\s*(?:[\w'’&.-]+(?: [\w'’&.-]+)?)(?:\s{2,}|\s[|·•›»]\s)(?:[\w'’&.-]+(?: [\w'’&.-]+)?(?:\s{2,}|\s[|·•›»]\s)?)*\s*$")
-_HOST = re.compile(r"\s+[|·–—]\s+[a-z0-9][\w.-]*\s*$")
-_HEADED = re.compile(r"^\s*([a-z0-9][\w.-]*)\s+[|·]\s+\S.*$")
-_SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])\s*")
-_HEX = re.compile(r"\b(?=[0-9a-f-]*\d)[0-9a-f][0-9a-f-]{4,}\b", re.I)
-_NUMBER = re.compile(r"(?<!\d)(?![45]\d\d(?!\d))\d+")  # all but what may be a status
+
+_HOST = re.compile(r"\s+[|·–—]\s+([a-z0-9][\w.-]*|[A-Z0-9]+[.-][A-Z0-9.-]+)$")
+_HEADED = re.compile(r"([a-z0-9][\w.-]*|[A-Z0-9]+[.-][A-Z0-9.-]+)\s+[|·]\s+\S")
+_MENU = re.compile(r" {2,}|\t+|\s[|·•›»]\s")
+_STOP, _STOP_UNSPACED = re.compile(r"[.!?:]\s+"), re.compile(r"[。！？]\s*|[.!?:]\s+")
+#: What only content names: calls, identifiers, paths, dates, links, code; and what such a name can't do without.
+SPECIFIC = re.compile(r"\w\(|[^\W_]_[^\W_]|(?<!\w)(?!and/or|on/off|n/a)\w+/\w|\d-\d\d(?!\d)|\]\(|`")
+_SPECIFIC_HINT = re.compile(r"[(_/`]|\d-\d")
+_MASKED = re.compile(r"(?<![^\W_])(?![45]\d\d(?![^\W_]))(?:\d+|[0-9a-f]{5,})(?![^\W_])")  # numbers and codes, but not what may be a status
 _WORDS = re.compile(r"[^\W\d_]{3,}")
+#: How a placeholder begins.
+_BEGIN = re.compile(r"[{<%]|[$#]\{|\[(?=[A-Z\[]|\w+ )|__(?=[A-Z])|@@")
 
 
 def prose(text: str) -> str:
@@ -110,137 +115,210 @@ def prose(text: str) -> str:
 
 def unfilled(text: str) -> bool:
     """Whether a placeholder is left outside of code, quotation and link labels; [Label] is a link if the text defines it elsewhere."""
-    if not any(x in text for x in ("{", "<", "%", "[", "__", "@@")):
+    if not any(PLACEHOLDERS.match(text, m.start()) for m in _BEGIN.finditer(text)):
         return False
     return any(not (m[0][0] == "[" and f"{m[0]}:" in text) for m in PLACEHOLDERS.finditer(prose(text)))
 
 
+def _is_specific(statement: str) -> bool:
+    return bool(_SPECIFIC_HINT.search(statement) and SPECIFIC.search(statement))
+
+
 def _plain(statement: str) -> str:
     """A statement's form to compare by: lower case, numbers and codes as one sign."""
-    return _NUMBER.sub("9", _HEX.sub("#", statement)).casefold().strip(" \t*_#>-•").rstrip(".!。")
+    return _MASKED.sub("#", statement.casefold()).strip(" \t*_#>-•").rstrip(".!?:。！？")
+
 
+def _is_menu(line: str) -> bool:
+    """Whether a line is of several entries of one or two words each."""
+    entries = _MENU.split(line)
+    return len(entries) > 1 and all(len(e.split()) <= 2 for e in entries)
 
-def dissect(text: str) -> tuple[str | None, str, list[str]]:
-    """Host, title and the statements of a document outside of its frame; a repeated statement counts once."""
+
+def dissect(text: str) -> tuple[str | None, str, list[str], bool]:
+    """Host, title, and the statements of a document outside of its frame (a repeated one counts once), and whether it names something specific.
+
+    Statements that do so themselves are left out, as they are content by that.
+    """
     front = _FRONT.match(text)
     host = None
     if front and (m := re.search(r"^project:\s*(\S+)", front[1], re.M)):
         host = m[1]
     body = text[front.end() :] if front else text
+    specific = "```" in body or "~~~" in body
+    if specific:
+        body = _FENCE.sub("\n", body)
     title, out, first = "", {}, True
-    for line in body.split("\n"):
-        s = line.strip()
-        if not s:
-            continue
-        if m := _HEADED.match(s):
-            if first:
+    lines = [s for line in body.split("\n") if (s := line.strip())]
+    for s in lines:
+        if "|" in s or "·" in s or "—" in s or "–" in s or "  " in s or "\t" in s:
+            if first and (m := _HEADED.match(s)):
                 host, first = m[1], False
                 continue
-        elif _NAV.match(s) and not says_so(_plain(s)):
-            first = False
+            if m := _HOST.search(s):
+                host, s = m[1], s[: m.start()]
+                if first:
+                    title, first = s, False
+                    continue
+            elif _is_menu(s):
+                first = False
+                continue
+        if s[0] == "#" and not title:
+            title, first = s.strip("# "), False
+            specific = specific or _is_specific(s)
             continue
-        if m := _HOST.search(s):
-            host = m[0].strip(" |·–—\t")
-            s = s[: m.start()]
-            if first:
-                title, first = s, False
-        if s.startswith("#") and not says_so(_plain(s)):
-            title, first = title or s.strip("# "), False
+        if first and len(lines) > 1 and s[-1] not in ".!?。！？:;,":
+            title, first = s, False
+            specific = specific or _is_specific(s)
             continue
-        if first and len(s) <= MOST_TITLE and not s.endswith((".", "!", "?", "。")):
-            title = s.strip("# ")
         first = False
-        for x in _SENTENCE.split(s):
-            if p := _plain(x):
+        for x in (_STOP if s.isascii() else _STOP_UNSPACED).split(s):
+            if _is_specific(x):
+                specific = True
+            elif p := _plain(x):
                 out.setdefault(p)
-    return host, title, list(out)
+    if title and not out and not specific:
+        out = {p: None for p in (_plain(title),) if p}
+    return host, title, list(out), specific
 
 
-def _lorem(statement: str) -> bool:
+def _filler(statement: str) -> bool:
     words = re.findall(r"[^\W\d_]+", statement)
     return len(words) >= 3 and sum(w in LOREM for w in words) >= 0.7 * len(words)
 
 
 @lru_cache(maxsize=50_000)
-def says_so(statement: str) -> bool:
-    """Whether a statement (in its plain form) is filler, an error or a notice by its own words. Quotations don't count."""
-    if len(statement) > MOST_CHARACTERS:
-        return _lorem(statement)
+def form_share(statement: str) -> float:
+    """The share of a statement's letters (in its plain form) that have the form of filler, an error or a notice. Quotations don't count."""
     bare = _QUOTED.sub(" ", statement)
-    return bool(STAND_IN.search(bare) or FILLER.search(bare)) or _lorem(statement)
+    if _filler(bare):
+        return 1.0
+    inside = max(sum(sum(map(str.isalnum, m[0])) for m in p.finditer(bare)) for p in (STAND_IN, FILLER))
+    return inside / max(1, sum(map(str.isalnum, bare)))
+
+
+def says_so(statement: str) -> bool:
+    """Whether a statement is a stand-in by its own form; one that says much besides is not."""
+    return form_share(statement) >= (FORM_SHARE if " " in statement else FORM_SHARE_UNSPACED)
+
 
+_SCAN = pa.schema({"what": pa.string(), "doc": pa.int64(), "residue": pa.bool_(), "titled": pa.bool_(), "title": pa.binary(), "statements": pa.list_(pa.struct([("key", pa.binary()), ("text", pa.string())])), "key": pa.binary(), "n": pa.int64(), "n_specific": pa.int64(), "least": pa.string(), "most": pa.string()})
+_SCAN_DDL = "what string, doc long, residue boolean, titled boolean, title binary, statements array<struct<key:binary,text:string>>, key binary, n long, n_specific long, least string, most string"
+_HELD = 200_000
 
-_SCAN = pa.schema({"what": pa.string(), "doc": pa.int64(), "residue": pa.bool_(), "host": pa.string(), "statements": pa.list_(pa.string()), "known": pa.list_(pa.bool_()), "titled": pa.list_(pa.bool_()), "statement": pa.string(), "n": pa.int64()})
-_SCAN_DDL = "what string, doc long, residue boolean, host string, statements array<string>, known array<boolean>, titled array<boolean>, statement string, n long"
-_HELD = 100_000
+
+def _key(text: str) -> bytes:
+    return hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=16).digest()
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SCAN)], schema=_SCAN)
 
 
+class _Counts:
+    """Documents that hold a term, those of them that name something specific, and the first and last host."""
+
+    def __init__(self, what: str):
+        self.what, self.all, self.specific, self.by_host, self.held = what, Counter(), Counter(), {}, 0
+
+    def add(self, terms: set[str], specific: bool, host: str | None) -> None:
+        self.all.update(terms)
+        if specific:
+            self.specific.update(terms)
+        if host is not None:
+            seen = self.by_host.setdefault(host, set())
+            self.held -= len(seen)
+            seen |= terms
+            self.held += len(seen)
+
+    def rows(self) -> list[tuple]:
+        least: dict[str, str] = {}
+        most: dict[str, str] = {}
+        for host in sorted(self.by_host):
+            here = dict.fromkeys(self.by_host[host], host)
+            most |= here
+            least = here | least
+        return [(self.what, None, None, None, None, None, _key(t), n, self.specific[t], least.get(t), most.get(t)) for t, n in self.all.items()]
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """'doc' each document that may hold residue; 'count' documents by statement, from the whole task."""
-    counts: Counter = Counter()
+    """'doc' each document that may be residue; 'statement' and 'word' counts, combined in the task."""
+    statements_of, words_of = _Counts("statement"), _Counts("word")
 
     def passed_on() -> Iterator[pa.RecordBatch]:
-        rows = [("count", None, None, None, None, None, None, s, n) for s, n in counts.items()]
+        rows = statements_of.rows() + words_of.rows()
         for i in range(0, len(rows), 20_000):
             yield _batch(rows[i : i + 20_000])
-        counts.clear()
 
     for b in batches:
         out = []
         for doc, project, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
             if unfilled(text):
-                out.append(("doc", doc, True, None, None, None, None, None, None))
-                continue
-            host, title, statements = dissect(text)
-            counts.update(s for s in statements if len(s) <= MOST_CHARACTERS)
-            if not statements:
+                out.append(("doc", doc, True, None, None, None, None, None, None, None, None))
                 continue
-            named = _plain(title) if len(statements) > 1 else ""
-            if all(s == named or _lorem(s) or bool(FILLER.search(s)) for s in statements):
-                out.append(("doc", doc, True, host or project, None, None, None, None, None))
-            elif len(statements) <= MOST_STATEMENTS and all(len(s) <= MOST_CHARACTERS for s in statements) and not _FENCE.search(text):
-                statements = [s for s in statements if s != named or says_so(s)]  # a title is frame
+            host, title, statements, specific = dissect(text)
+            host, named = host or project, _plain(title)
+            statements_of.add({*statements, named} if named else set(statements), specific, host)
+            words_of.add(set(_WORDS.findall(text.casefold())), specific, host)
+            if statements and not specific:
                 terms = set(_WORDS.findall(title.casefold()))
-                known = [says_so(s) for s in statements]
-                titled = [not k and bool(terms & set(_WORDS.findall(s))) for s, k in zip(statements, known)]
-                out.append(("doc", doc, False, host or project, statements, known, titled, None, None))
+                titled = named not in statements and not says_so(named) and any(not terms.isdisjoint(_WORDS.findall(s)) for s in statements)
+                out.append(("doc", doc, False, titled, _key(named) if titled else None, [{"key": _key(s), "text": s} for s in statements], None, None, None, None, None))
         if out:
             yield _batch(out)
-        if len(counts) > _HELD:
+        if sum(len(c.all) + c.held for c in (statements_of, words_of)) > _HELD:
             yield from passed_on()
+            statements_of, words_of = _Counts("statement"), _Counts("word")
     yield from passed_on()
 
 
+def _evidence(scan: DataFrame, what: str) -> DataFrame:
+    """key and empty of the statements or words that the corpus has often enough to tell."""
+    sums = scan.where(F.col("what") == what).groupBy("key").agg(F.sum("n").alias("n"), F.sum("n_specific").alias("s"), F.min("least").alias("least"), F.max("most").alias("most"))
+    often = sums.where((F.col("n") >= LEAST_DOCUMENTS) & (F.col("least") != F.col("most")))
+    return often.select("key", F.when(F.col("s") <= EMPTY_UPTO * F.col("n"), True).when(F.col("s") >= CONTENT_FROM * F.col("n"), False).alias("empty")).where("empty IS NOT NULL")
+
+
+_JUDGED = pa.schema({"key": pa.binary(), "formed": pa.bool_(), "hinted": pa.bool_(), "words": pa.list_(pa.binary())})
+
+
+def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        texts = b.column(1).to_pylist()
+        words = [[_key(w) for w in dict.fromkeys(_WORDS.findall(t))] for t in texts]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([says_so(t) for t in texts]), pa.array([form_share(t) > 0 for t in texts]), pa.array(words, pa.list_(pa.binary()))], schema=_JUDGED)
+
+
 def residue_documents(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", host_col: str | None = "project") -> DataFrame:
     """The documents that hold residue instead of content: one column, named as id_col.
 
     Null, empty and blank texts are no residue (they hold nothing that was put in place of content). A document that occurs twice comes out once.
-    Scale: one pass over the texts; statements are counted in each task before they are shuffled; what the rounds join are short documents only.
+    Documents may be of any length and have any number of statements.
+    Scale: one pass over the texts; statements and words are counted in each task before they are shuffled, as digests; what is joined are the
+    statements of documents that name nothing specific, each text of a statement once.
     """
     host = F.col(host_col).cast("string") if host_col else F.lit(None).cast("string")
     needed = df.select(F.col(id_col).cast("long").alias("doc"), host.alias("project"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL AND doc IS NOT NULL")
     scan = settle(spread(needed).mapInArrow(_scan, _SCAN_DDL))
-    counts = scan.where("what = 'count'").groupBy("statement").agg(F.sum("n").alias("n_docs"))
-    short = scan.where("what = 'doc' AND NOT residue")
-    rows = short.select("doc", "host", F.explode(F.arrays_zip("statements", "known", "titled")).alias("s")).select("doc", "host", F.col("s.statements").alias("statement"), F.col("s.known").alias("known"), F.col("s.titled").alias("titled"))
-    for _ in range(ROUNDS):
-        unknown = F.count_if(~F.col("known"))
-        per_doc = rows.groupBy("doc").agg(unknown.alias("n_unknown"), F.count_if("known").alias("n_known"), F.max(F.struct(~F.col("known"), "statement", "host", "titled")).alias("last"))
-        # Documents with one statement that isn't known, and others that are: evidence for that one.
-        beside = per_doc.where("n_unknown = 1 AND n_known >= 1 AND NOT last.titled").groupBy(F.col("last.statement").alias("statement")).agg(F.count("*").alias("n_beside"), F.count_distinct("last.host").alias("n_hosts"))
-        learned = (
-            beside.where((F.col("n_beside") >= LEAST_DOCUMENTS) & (F.col("n_hosts") >= LEAST_HOSTS))
-            .join(counts, "statement")
-            .where(F.col("n_beside") >= LEARNED_SHARE * F.col("n_docs"))
-            .select("statement", F.lit(True).alias("learned"))
-        )
-        rows = settle(salted_join(rows, learned, ["statement"], "doc", "left").select("doc", "host", "statement", (F.col("known") | F.coalesce("learned", F.lit(False))).alias("known"), "titled"))
-    alone = rows.groupBy("doc").agg(F.bool_and("known").alias("stand_in")).where("stand_in").select("doc")
-    return scan.where("what = 'doc' AND residue").select("doc").union(alone).distinct().select(F.col("doc").alias(id_col))
+    told = _evidence(scan, "statement")
+    doubtful = scan.where("what = 'doc' AND NOT residue")
+    rows = doubtful.select("doc", "titled", "title", F.explode("statements").alias("s")).select("doc", "titled", "title", "s.key", "s.text")
+    asked = rows.groupBy("key").agg(F.first("text").alias("text"))
+    known = settle(asked.join(told, "key", "left"))
+    rare = known.where("empty IS NULL").select("key", "text").mapInArrow(_judge, "key binary, formed boolean, hinted boolean, words array<binary>")
+    words = rare.select("key", "formed", "hinted", F.explode_outer("words").alias("word"))
+    weighed = words.join(_evidence(scan, "word").select(F.col("key").alias("word"), "empty"), "word", "left").groupBy("key").agg(
+        F.bool_or("formed").alias("formed"), F.bool_or("hinted").alias("hinted"), F.count_if("empty").alias("n_empty"), F.count("word").alias("n_words")
+    )
+    least_empty = F.when(F.col("hinted"), EMPTY_WORDS_OF_FORM).otherwise(EMPTY_WORDS) * F.col("n_words")
+    by_itself = weighed.select("key", (F.col("formed") | ((F.col("n_words") >= 2) & (F.col("n_empty") >= least_empty))).alias("empty"))
+    decided = settle(known.where("empty IS NOT NULL").select("key", "empty").unionByName(by_itself).where("empty"))
+    met = salted_join(rows, decided, ["key"], "doc", "left")
+    bodies = met.groupBy("doc").agg(F.bool_and(F.coalesce("empty", F.lit(False))).alias("bare"), F.max("titled").alias("titled"), F.max("title").alias("key")).where("bare")
+    # A body that takes up its title's terms is about something, unless the title is a stand-in itself.
+    about = bodies.where("titled").join(told.where("empty").select("key"), "key", "left_anti").select("doc")
+    found = scan.where("what = 'doc' AND residue").select("doc").union(bodies.select("doc")).distinct()
+    return found.join(about, "doc", "left_anti").select(F.col("doc").alias(id_col))
 
 
 def without_residue(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", host_col: str | None = "project") -> DataFrame:
