@@ -150,6 +150,12 @@ def test_pairs_are_those_of_the_skeletons(spark):
     assert one[900] is None and all(one[a] == one[b] for a, b in want)
 
 
+def test_many_equal_texts_cost_only_their_pairs(spark):
+    df = spark.range(60_000).selectExpr("id AS row_id", "'the cache reader' AS text").union(spark.createDataFrame([(70_000, "the\u00a0cache reader"), (70_001, "the\u2009cache reader")], "row_id long, text string"))
+    pairs = lookalikes.same_look_pairs(df)
+    assert pairs.count() == 2 * 60_000 + 1 and pairs.where("row_id_2 < 70000").count() == 0
+
+
 # --- packing ---------------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("seed", range(6))
 def test_containers_hold_all_and_are_few(seed):

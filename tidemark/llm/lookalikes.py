@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.skew import salted_join
 from tidemark.session import settle, spread
 
 # Letters of the same shape, Latin with Cyrillic and Latin with Greek.
@@ -237,16 +238,21 @@ def canonical_keys(df: DataFrame, text_col: str = "text", row_col: str = "row_id
 def same_look_pairs(df: DataFrame, text_col: str = "text", row_col: str = "row_id") -> DataFrame:
     """Pairs of rows, the smaller first, whose repaired texts are equal but whose texts are not; an exact check of the skeletons follows.
 
-    Equal texts are no pair. The rows of a look are met only if it has two different texts, and in SALTS parts, so that one common
-    look doesn't end in one task. A row number that occurs twice with different texts makes no pair with itself.
+    Equal texts are no pair. Rows are first brought together as classes of equal texts, classes of one look are paired, and only these pairs are
+    expanded into rows, the smaller class first; so a text that a third of all rows have costs no more than its pairs. The rows of the larger
+    class are met in parts. A row number that occurs twice with different texts makes no pair with itself.
     """
     keys = settle(canonical_keys(df, text_col, row_col).select(F.col(row_col).alias("row"), "raw", "key", "look"))
-    several = keys.groupBy("key").agg(F.min("raw").alias("least"), F.max("raw").alias("most")).where("least != most").select("key")
-    rows = keys.join(several, "key", "left_semi")
-    left = rows.select("key", "look", F.col("raw").alias("raw_1"), F.col("row").alias("row_1"), F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int").alias("salt"))
-    right = rows.select("key", F.col("look").alias("look_2"), F.col("raw").alias("raw_2"), F.col("row").alias("row_2"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    met = left.join(right, ["key", "salt"]).where("raw_1 != raw_2 AND row_1 < row_2 AND look = look_2")
-    return met.select(F.col("row_1").alias(f"{row_col}_1"), F.col("row_2").alias(f"{row_col}_2"))
+    classes = keys.groupBy("key", "look", "raw").agg(F.count("*").alias("n"))
+    several = classes.groupBy("key", "look").agg(F.count("*").alias("texts")).where("texts > 1").select("key", "look")
+    classes = settle(classes.join(several, ["key", "look"], "left_semi"))
+    larger = classes.select("key", "look", F.col("raw").alias("raw_1"), F.col("n").alias("n_1"))
+    smaller = classes.select("key", "look", F.col("raw").alias("raw_2"), F.col("n").alias("n_2"))
+    paired = salted_join(larger, smaller, ["key", "look"], "raw_1", salts=SALTS).where("n_1 > n_2 OR (n_1 = n_2 AND raw_1 > raw_2)").select("raw_1", "raw_2")
+    members = keys.join(classes.select("raw"), "raw", "left_semi").select("raw", "row")
+    half = salted_join(members.select(F.col("raw").alias("raw_2"), F.col("row").alias("row_2")), paired, ["raw_2"], "row_2", salts=SALTS).select("raw_1", "row_2")
+    met = salted_join(members.select(F.col("raw").alias("raw_1"), F.col("row").alias("row_1")), half, ["raw_1"], "row_1", salts=SALTS).where("row_1 != row_2")
+    return met.select(F.least("row_1", "row_2").alias(f"{row_col}_1"), F.greatest("row_1", "row_2").alias(f"{row_col}_2"))
 
 
 def unify(df: DataFrame, text_col: str = "text", row_col: str = "row_id", out_col: str = "text_unified") -> DataFrame:
