@@ -75,15 +75,16 @@ def mixing_plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
 def replicate(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", seed: int = 42) -> DataFrame:
     """The documents of the plan's sources, each as often as it is drawn, with copy_no from 1 and place, by which the whole is in random order.
 
-    docs has id_col, source and whatever else should come along. Rows with a null id are drawn alike. The result is range-partitioned by place, so
+    docs has id_col, source and whatever else should come along. Rows with a null id are told apart by their other columns. The result is range-partitioned by place, so
     that each partition is a random part of the whole; nothing is grouped by source, and so a source that holds most rows is no hot key.
     """
     rates = F.broadcast(plan.select(F.col("key").alias("_mix_key"), F.col("cumulative").alias("_mix_cumulative")).dropDuplicates(["_mix_key"]))
-    drawn = F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.lit(seed)), 11) / F.lit(float(1 << 53))
+    same = [F.col(id_col), F.when(F.col(id_col).isNull(), F.xxhash64(*[c for c in docs.columns if c != id_col]))]
+    drawn = F.shiftrightunsigned(F.xxhash64(*same, F.lit(seed)), 11) / F.lit(float(1 << 53))
     counted = docs.join(rates, _normal(F.col("source")) == F.col("_mix_key")).withColumn("_mix_draw", drawn)
     count = F.size(F.filter("_mix_cumulative", lambda c: c <= F.col("_mix_draw")))
     copies = counted.withColumn("_mix_count", count).where("_mix_count > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("_mix_count"))))
-    placed = copies.withColumn("place", F.xxhash64(F.col(id_col), F.col("copy_no"), F.lit(seed + 1)))
+    placed = copies.withColumn("place", F.xxhash64(*same, F.col("copy_no"), F.lit(seed + 1)))
     return placed.drop("_mix_key", "_mix_cumulative", "_mix_draw", "_mix_count").repartitionByRange("place").sortWithinPartitions("place")
 
 
@@ -109,3 +110,9 @@ def share_report(mixed: DataFrame, plan: DataFrame) -> DataFrame:
         "source", "target_share", "n_docs", "own_size", "total_size", "rate", "max_repeats", "reachable", "copies", "most_repeats", "mixed_size",
         F.round(F.try_divide("mixed_size", "whole"), 6).alias("share_of_mix"), F.round(F.try_divide("mixed_size", "total_size"), 6).alias("share_of_total"),
     )
+
+
+def short_sources(report: DataFrame) -> DataFrame:
+    """source of those that the mix holds as often as it may, each document at the cap, and that still fall short of their share of the total."""
+    at_cap = F.col("mixed_size") == F.col("max_repeats") * F.col("own_size")
+    return report.where(at_cap & (F.col("mixed_size") < F.coalesce("target_share", F.lit(0.0)) * F.col("total_size"))).select("source")

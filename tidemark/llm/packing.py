@@ -127,20 +127,28 @@ _PLACED = "item long, part_no int, n_parts int, size long, container string, fix
 
 def _packer(capacity: int):
     def pack(shard: pd.DataFrame) -> pd.DataFrame:
-        shard = shard.sort_values(["size", "item", "part_no"], kind="stable").reset_index(drop=True)
-        containers, n_fixed = reduce_and_fill(shard["size"].tolist(), capacity)
+        shard = shard.sort_values(["size", "item", "copy"], kind="stable")
+        items, sizes = shard["item"].to_numpy(), shard["size"].to_numpy()
+        # What fills a container alone dominates whatever else could be in it: full parts are fixed first, the rests join the others.
+        full, n_parts = sizes // capacity, -(-sizes // capacity)
+        spread_over = np.repeat(np.arange(len(items)), full)
+        part = np.arange(len(spread_over)) - np.repeat(np.cumsum(full) - full, full) + 1
+        rests = np.flatnonzero(sizes % capacity)
+        containers, n_fixed = reduce_and_fill((sizes[rests] % capacity).tolist(), capacity)
         waiting: dict[int, list[int]] = {}
-        for i, s in enumerate(shard["size"].tolist()):
+        for i, s in zip(rests.tolist(), (sizes[rests] % capacity).tolist()):
             waiting.setdefault(s, []).append(i)
-        order, names, fixed = [], [], []
+        placed = [(waiting[s].pop(), number) for number, inside in enumerate(containers) for s in inside]
+        at = np.concatenate([spread_over, np.array([i for i, _ in placed], np.int64)]).astype(np.int64)
+        number = np.concatenate([np.arange(len(spread_over)) + len(containers), np.array([n for _, n in placed], np.int64)]).astype(np.int64)
         prefix = int(shard["shard"].iloc[0])
-        for number, sizes in enumerate(containers):
-            for s in sizes:
-                order.append(waiting[s].pop())
-                names.append(f"{prefix}-{number}")
-                fixed.append(number < n_fixed)
-        out = shard.loc[order, ["item", "part_no", "n_parts", "size"]].reset_index(drop=True)
-        return out.assign(container=names, fixed=fixed)
+        return pd.DataFrame(
+            {
+                "item": items[at], "part_no": np.concatenate([part, n_parts[at[len(spread_over) :]]]), "n_parts": n_parts[at],
+                "size": np.concatenate([np.full(len(spread_over), capacity), sizes[at[len(spread_over) :]] % capacity]),
+                "container": [f"{prefix}-{n}" for n in number], "fixed": (number < n_fixed) | (number >= len(containers)),
+            }
+        )
 
     return pack
 
@@ -150,19 +158,15 @@ def pack_sizes(items: DataFrame, capacity: int, item_col: str = "doc_id", size_c
 
     An item that does is cut into full parts, each a container of its own, and a rest that is packed with the others. Items of size 0 or null
     need no room and get no row; an item that occurs twice is packed twice. Ties are settled by item.
-    Scale: only numbers are moved; shards hold SHARD_ITEMS items on average, whatever the sizes or keys.
+    Scale: only numbers are moved; shards hold SHARD_ITEMS items on average, whatever the sizes or keys. Each shard leaves at most one container
+    half empty or less that a single instance would have filled, so the loss is bounded by the number of shards.
     """
     if capacity < 1:
         raise ValueError("capacity must be at least 1")
-    sized = settle(items.select(F.col(item_col).cast("long").alias("item"), F.col(size_col).cast("long").alias("size")).where("size > 0"))
+    sized = settle(items.select(F.col(item_col).cast("long").alias("item"), F.col(size_col).cast("long").alias("size")).where("size > 0").withColumn("copy", F.monotonically_increasing_id()))
     shards = max(1, -(-sized.count() // SHARD_ITEMS))
-    n_parts = F.ceil(F.col("size") / capacity).cast("int")
-    parts = sized.withColumn("n_parts", n_parts)
-    full = parts.where("n_parts > 1").withColumn("part_no", F.explode(F.sequence(F.lit(1), F.floor(F.col("size") / capacity).cast("int"))))
-    whole = full.select("item", "part_no", "n_parts", F.lit(capacity).cast("long").alias("size"), F.concat(F.lit("whole-"), F.col("item"), F.lit("-"), F.col("part_no")).alias("container"), F.lit(True).alias("fixed"))
-    rest = parts.select("item", F.col("n_parts").alias("part_no"), "n_parts", F.when(F.col("n_parts") == 1, F.col("size")).otherwise(F.col("size") % capacity).alias("size")).where("size > 0")
-    placed = rest.withColumn("shard", F.pmod(F.xxhash64("item", "part_no"), F.lit(shards)).cast("int")).repartition(shards, "shard").groupBy("shard").applyInPandas(_packer(capacity), _PLACED)
-    return whole.unionByName(placed).withColumnRenamed("item", item_col)
+    placed = sized.withColumn("shard", F.pmod(F.xxhash64("item"), F.lit(shards)).cast("int")).repartition(shards, "shard").groupBy("shard").applyInPandas(_packer(capacity), _PLACED)
+    return placed.withColumnRenamed("item", item_col)
 
 
 def pack_texts(df: DataFrame, capacity: int, text_col: str = "text", id_col: str = "doc_id", vocabulary: str = VOCABULARY, size: Column | None = None) -> DataFrame:

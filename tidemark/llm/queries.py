@@ -52,7 +52,7 @@ def _packed(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents that alone exceed a container: the packing had to cut them."""
+    """Documents that alone exceed a container: the packer put them into several."""
     return _packed(spark, folder).where("n_parts > 1 AND part_no = 1").select("doc_id")
 
 
@@ -67,9 +67,8 @@ def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Sources that can't reach their share."""
-    sizes = mixing.sized_documents(table(spark, folder, "documents"))
-    return mixing.mixing_plan(sizes, table(spark, folder, "mix_targets")).where("NOT reachable").select("source")
+    """Sources whose documents, all repeated as often as they may be, still fall short of their share in the mix."""
+    return mixing.short_sources(mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[1])
 
 
 def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
