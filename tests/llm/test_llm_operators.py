@@ -79,6 +79,13 @@ def test_stretches_and_what_only_looks_like_them(spark):
     }
 
 
+def test_forms_off_the_beaten_track_and_numbers_that_only_look_like_papers(spark):
+    rows = [(1, "At 221B Baker Parkway, 12345 Main Street, 500 Elm Plaza and Rue de Rivoli 12", None, ""), (2, "Call 555-0123 today", None, ""), (3, "See PR 123456 and GH 1234567", None, ""), (4, "In PR 123457", None, "")]
+    rows += [(5, "passport XZ9229031", None, ""), (6, "then XZ9229032 came", None, "")]
+    got, _, _ = found(spark, rows)
+    assert {x[3] for x in got} == {"221B Baker Parkway", "12345 Main Street", "500 Elm Plaza", "Rue de Rivoli 12", "555-0123", "XZ9229031", "XZ9229032"}
+
+
 def test_unlisted_names_are_learned_from_what_they_stand_beside(spark):
     rows = [(i, f"Assigned to Ludeka {f} until then.", None, "") for i, f in enumerate(["Toldekar", "Vexley-Thorn"])]
     rows += [(10 + i, f"By {g} Corvanet now.", None, "") for i, g in enumerate(["Mirvana", "Tobrek"])]

@@ -2,7 +2,8 @@
 
 What has a form of its own (addresses for mail and post, phone and identity numbers) is found by that form. Names have none: the corpus tells.
 Terms that stand beside protected name parts are counted over all texts; a term whose share of such places (its disclosure) exceeds a threshold
-reveals a person just as the listed parts do, becomes a protected part itself, and is removed wherever it completes a name.
+reveals a person just as the listed parts do, becomes a protected part itself, and is removed wherever it completes a name. Letters before digits
+are as ambiguous: they mark an identity number only if their places in the corpus disclose it, standing by words for papers or by other such data.
 """
 
 from __future__ import annotations
@@ -29,19 +30,21 @@ SALTS = 16
 
 _UPPER = "".join(c for c in map(chr, range(0x41, 0x530)) if c.isupper())
 _S = "[ \u00a0\u2007\u2009\u202f]"  # a blank that may be protected
-_NUMBER = r"\d{1,4}(?:[/-]\d{1,4})?[A-Za-z]?(?![\w])"
+_NUMBER = r"\d{1,5}(?:[/-]\d{1,5})?[A-Za-z]?(?![\w])"
 _CAP = rf"[{_UPPER}][^\W\d_]+(?:[-’'][^\W\d_]+)*"
 
 # Words for street and what they stand by.
-_STREET_EN = "Road|Street|Lane|Avenue|Close|Drive|Court|Place|Square|Terrace|Crescent|Way|Walk|Row|Rise|Hill|Gardens|Grove|Mews|Boulevard|Rd\\.?|St\\.?|Ln\\.?|Ave\\.?|Blvd\\.?|Dr\\.?"
+_STREET_EN = "Road|Street|Lane|Avenue|Close|Drive|Court|Place|Square|Terrace|Crescent|Way|Walk|Row|Rise|Hill|Gardens|Grove|Mews|Boulevard|Parkway|Plaza|Highway|Rd\\.?|St\\.?|Ln\\.?|Ave\\.?|Blvd\\.?|Dr\\.?"
 _STREET_SK = "ulica|ulici|ulice|cesta|trieda|nábrežie|námestie|Ulica|Cesta|Trieda|Nábrežie|Námestie"
 _BEFORE_SK = "ul\\.|Ul\\.|nám\\.|Nám\\.|Námestie|námestie|Ulica|ulica|Nábrežie|nábrežie|Trieda|trieda|tr\\.|Cesta|вул\\.|вулиця|площа|пл\\."
 _PREPOSITION_SK = "Na|Pod|Nad|Pri|Za|Pred|Medzi|K|V|U"
+_BEFORE_ROMANCE = "Rue|Avenue|Boulevard|Place|Via|Viale|Piazza|Corso|Calle|Avenida|Plaza|Rua|Praça"
 _STREET_DE = "straße|strasse|str\\.|platz|weg|gasse|allee|ring|ufer|damm|steig|markt"
 
 ADDRESS = re.compile(
     rf"(?<![\w/.-])(?:"
-    rf"\d{{1,4}}[A-Za-z]?{_S}(?:{_CAP}{_S}){{1,3}}(?:{_STREET_EN})(?![\w])"
+    rf"\d{{1,5}}[A-Za-z]?{_S}(?:{_CAP}{_S}){{1,3}}(?:{_STREET_EN})(?![\w])"
+    rf"|(?:{_BEFORE_ROMANCE}){_S}(?:(?:de|du|des|de la|della|del|di|da|dos){_S})?{_CAP}(?:{_S}{_CAP}){{0,2}},?{_S}{_NUMBER}"
     rf"|(?:{_CAP}{_S}){{1,3}}(?:{_STREET_EN}){_S}{_NUMBER}"
     rf"|(?:(?:{_PREPOSITION_SK}){_S})?{_CAP}(?:{_S}{_CAP})?{_S}(?:{_STREET_SK}){_S}{_NUMBER}"
     rf"|(?:{_BEFORE_SK}){_S}?(?:(?:{_PREPOSITION_SK}|{_PREPOSITION_SK.lower()}){_S})?{_CAP}(?:{_S}{_CAP}){{0,2}},?{_S}{_NUMBER}"
@@ -50,7 +53,7 @@ ADDRESS = re.compile(
     rf")"
 )
 #: What an address of the kinds above can't do without; spares most texts the pattern.
-_STREET_HINT = re.compile(rf"(?:{_STREET_EN}|{_STREET_SK}|{_BEFORE_SK}|(?:{_STREET_DE}|Straße|Strasse|Platz|Weg|Gasse|Allee|Ring|Ufer|Damm){_S}\d)")
+_STREET_HINT = re.compile(rf"(?:{_STREET_EN}|{_STREET_SK}|{_BEFORE_SK}|{_BEFORE_ROMANCE}|(?:{_STREET_DE}|Straße|Strasse|Platz|Weg|Gasse|Allee|Ring|Ufer|Damm){_S}\d)")
 
 _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
 _LOCAL = r"[^\W_](?:[\w.+%'-]*[\w+%-])?"
@@ -66,15 +69,21 @@ _EMAIL_HINT = re.compile(r"@|[\[({<]\s?(?:at|AT|At|zavináč|ät)\s?[\])}>]| (?:
 ID_NUMBER = re.compile(
     rf"(?<![\w/.-])(?:\d{{3}}-\d{{2}}-\d{{4}}"  # social insurance
     rf"|[A-Z]{{2}}{_S}?\d{{2}}{_S}?\d{{2}}{_S}?\d{{2}}{_S}?[A-D]"  # national insurance
-    rf"|\d{{6}}{_S}?/{_S}?\d{{3,4}}"  # birth number
-    rf"|[A-Z]{{2}}{_S}?\d{{6,7}})"  # passport and identity card
+    rf"|\d{{6}}{_S}?/{_S}?\d{{3,4}})"  # birth number
     r"(?![\w/]|[-.]\d)"
 )
+#: Passports and identity cards, but also tickets, parts and the like: the corpus decides by the letters.
+OPEN_ID = re.compile(rf"(?<![\w/.-])([A-Z]{{2}}){_S}?\d{{6,7}}(?![\w/]|[-.]\d)")
+# Words for papers of persons (case folded).
+PAPERS = re.compile(r"passport|identity|id card|id no|insurance|pas(?:u|om)?\b|cestovn|preukaz|občiansk|doklad|reisepass|ausweis|pass(?:nummer|-nr)|паспорт|посвідчення|旅券|パスポート|身分証")
+#: Characters before an open number in which such a word, or on either side in which other personal data, is evidence.
+_NEAR = 24
 _G = "[ \u00a0\u2007\u2009\u202f.-]"
 PHONE = re.compile(
     rf"(?<![\w/.@#:-])(?:(?:\+|00)[1-9]\d{{0,2}}{_G}?(?:\(\d{{1,4}}\){_G}?)?\d{{2,4}}(?:{_G}?\d{{2,4}}){{1,4}}"
     rf"|\(0?\d{{2,4}}\){_G}?\d{{3,4}}{_G}?\d{{3,4}}"
     rf"|0\d{{3,4}}[ \u00a0\u2007\u2009\u202f/]\d{{3}}{_S}?\d{{3}}"
+    rf"|(?<=[Cc]all )\d{{3}}[ .-]\d{{4}}|(?<=[Tt]el\. )\d{{3}}[ .-]\d{{4}}|(?<=[Pp]hone )\d{{3}}[ .-]\d{{4}}"
     rf"|\d{{3}}([ \u00a0\u2007\u2009\u202f.-])\d{{3}}\1\d{{4}})"
     r"(?![\w/]|[-.:]\d)"
 )
@@ -86,12 +95,12 @@ _PART = re.compile(rf"[{_UPPER}](?:\.|[^\W\d_]+(?:-[{_UPPER}][^\W\d_]+)*)")
 
 
 def formed(text: str) -> list[tuple[str, str, int, int]]:
-    """Kind, stretch, start and end of what has a form of its own; no two overlap."""
+    """Kind, stretch, start and end of what has a form of its own; no two overlap. The kind 'open_id' is one that the corpus has yet to decide on."""
     out: list[tuple[str, str, int, int]] = []
 
     def take(kind: str, pattern: re.Pattern) -> None:
         for m in pattern.finditer(text):
-            if kind == "phone" and not 9 <= sum(map(str.isdigit, m[0])) <= 15:
+            if kind == "phone" and sum(map(str.isdigit, m[0])) > 15:
                 continue
             if not any(m.start() < e and s < m.end() for _, _, s, e in out):
                 out.append((kind, m[0], m.start(), m.end()))
@@ -100,6 +109,7 @@ def formed(text: str) -> list[tuple[str, str, int, int]]:
         take("email", EMAIL)
     if _DIGITS.search(text):
         take("id_number", ID_NUMBER)
+        take("open_id", OPEN_ID)
         take("phone", PHONE)
     if _STREET_HINT.search(text):
         take("address", ADDRESS)
@@ -229,14 +239,20 @@ def _scanner(known: dict[str, set[str]], json_fields: set[str]):
                     seen: dict[tuple, None] = {}
                     for text in opened(whole) if field in json_fields else (whole,):
                         stretches = formed(text)
-                        for kind, stretch, _, _ in stretches:
-                            seen[kind, stretch] = None
+                        for kind, stretch, start, end in stretches:
+                            if kind == "open_id":
+                                near = bool(PAPERS.search(text[max(0, start - _NEAR) : start].casefold())) or any(k != kind and s < end + _NEAR and start - _NEAR < e for k, _, s, e in stretches)
+                                seen[kind, stretch] = near or seen.get((kind, stretch), False)
+                            else:
+                                seen[kind, stretch] = None
                         terms.update(w.casefold() for w in _WORD.findall(text))
                         for run in runs(text, stretches):
                             beside.update(_evidence(run, known))
                             seen["run", run] = None
-                    for kind, stretch in seen:
-                        if kind == "run":
+                    for (kind, stretch), near in seen.items():
+                        if kind == "open_id":
+                            out.append(("open", row, field, "id_number", stretch, int(near), [stretch[:2]]))
+                        elif kind == "run":
                             out.append(("run", row, field, None, stretch, None, [p.casefold() for p in _PART.findall(stretch)]))
                         else:
                             out.append(("found", row, field, kind, stretch, None, None))
@@ -275,6 +291,16 @@ def protected_parts(scan: DataFrame, listed: DataFrame) -> DataFrame:
     return listed.unionByName(learned).distinct()
 
 
+def open_numbers(scan: DataFrame) -> DataFrame:
+    """The open numbers whose letters disclose an identity number: at least DISCLOSURE of the letters' places are beside words for papers or other personal data.
+
+    Two letters have fewer than 700 forms, so what discloses is small whatever the corpus.
+    """
+    places = scan.where("what = 'open'").select("row", "field", "kind", "found", "n", F.col("terms")[0].alias("letters"))
+    telling = places.groupBy("letters").agg(F.sum("n").alias("near"), F.count("*").alias("n")).where(F.col("near") >= DISCLOSURE * F.col("n")).select("letters")
+    return places.join(F.broadcast(telling), "letters").select("row", "field", "kind", "found")
+
+
 def personal_stretches(df: DataFrame, name_parts: DataFrame, fields: tuple[str, ...] = ("text", "input"), json_fields: tuple[str, ...] = ("input",), row_col: str = "row_id") -> DataFrame:
     """Row, field, kind (email, phone, id_number, address, name) and found: each stretch once a row and field, exactly as it stands.
 
@@ -295,7 +321,7 @@ def personal_stretches(df: DataFrame, name_parts: DataFrame, fields: tuple[str,
     protected = protected_parts(scan, listed).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     terms = scan.where("what = 'run'").select("row", "field", F.col("found").alias("run"), F.posexplode("terms").alias("at", "term"), F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int").alias("salt"))
     names = terms.join(protected, ["term", "salt"]).groupBy("row", "field", "run").agg(F.collect_set(F.struct("at", "part_kind")).alias("parts")).mapInArrow(_namer, "row long, field string, kind string, found string")
-    found = scan.where("what = 'found'").select("row", "field", "kind", "found").unionByName(names.distinct())
+    found = scan.where("what = 'found'").select("row", "field", "kind", "found").unionByName(open_numbers(scan)).unionByName(names.distinct())
     return found.withColumnRenamed("row", row_col)
 
 
