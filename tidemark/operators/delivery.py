@@ -1,25 +1,32 @@
 """Rows delivered more than once: a sorted identifier index by hash prefix.
 
-Identifiers are kept as sorted arrays, one set of arrays for each hash prefix. An incoming batch is
-deduplicated locally, searched in the arrays by bisection, and what is new becomes another immutable
-run; runs are merged once there are several. Bulk use (`surplus_rows`) plays all batches of a table
-through the index in one pass per prefix; `DeliveryIndex` keeps the runs on disk between batches.
+Identifiers are kept as sorted arrays by hash prefix, in immutable runs on disk. An incoming batch is deduplicated locally, searched in the arrays
+by bisection, and what is new becomes another run; runs are merged once there are several. `DeliveryIndex` is that index; `surplus_rows` sends the
+batches of a table through one, in order.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.session import settle, shared_folder
+
 #: Rows of one prefix that a task holds at a time, at most on average.
 ROWS_PER_PREFIX = 1_000_000
-#: Runs of one prefix beyond which they are merged.
-MERGE_RUNS = 6
+#: Runs beyond which they are merged.
+MERGE_RUNS = 1
+#: Batches of a table go through the index in so many groups, in their order.
+SLICES = 3
+#: Touched prefixes that are named in the filter of a read; beyond that all are read.
+MOST_NAMED = 4096
 
 _ENTRY = "prefix int, batch long, ident binary, usable int, amount long, row long"
 _ENTRY_ARROW = pa.schema({"prefix": pa.int32(), "batch": pa.int64(), "ident": pa.binary(), "usable": pa.int32(), "amount": pa.int64(), "row": pa.int64()})
@@ -54,7 +61,7 @@ def _better(u1, a1, r1, u2, a2, r2):
 class PrefixIndex:
     """The identifiers of one hash prefix: immutable sorted arrays with what is known of the copy kept."""
 
-    def __init__(self, merge_runs: int = MERGE_RUNS):
+    def __init__(self, merge_runs: int = 6):
         self.runs: list[tuple[np.ndarray, ...]] = []
         self.merge_runs = merge_runs
 
@@ -93,47 +100,20 @@ class PrefixIndex:
 
 
 def _keys(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    if isinstance(flat, pa.ChunkedArray):
-        flat = pa.concat_arrays(flat.chunks) if flat.num_chunks else pa.array([], pa.binary())
-    raw = b"".join(x + b"\1" for x in flat.to_pylist())
-    return np.frombuffer(raw, _KEY)
+    """The identifiers (all of 16 bytes, none null) as an array that numpy can sort, straight from the Arrow buffers."""
+    flat = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) and column.num_chunks else column
+    if not len(flat):
+        return np.empty(0, _KEY)
+    ends = np.frombuffer(flat.buffers()[1], np.int64 if pa.types.is_large_binary(flat.type) else np.int32)[flat.offset : flat.offset + len(flat) + 1]
+    raw = np.ones((len(flat), 17), np.uint8)
+    raw[:, :16] = np.frombuffer(flat.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(-1, 16)
+    return raw.view(_KEY).ravel()
 
 
 def _numbers(t: pa.Table) -> tuple[np.ndarray, ...]:
     return tuple(t.column(c).to_numpy() for c in ("usable", "amount", "row"))
 
 
-def _surplus_batch(rows: np.ndarray) -> pa.RecordBatch:
-    return pa.record_batch({"row": pa.array(rows, pa.int64())})
-
-
-def _play(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by prefix and batch: plays each batch of a prefix into the index of that prefix."""
-    index, here, held = PrefixIndex(), None, []
-
-    def close() -> np.ndarray:
-        t = pa.Table.from_batches(held)
-        return index.ingest(_keys(t.column("ident")), *_numbers(t))
-
-    for b in batches:
-        if not b.num_rows:
-            continue
-        p, n = b.column("prefix").to_numpy(), b.column("batch").to_numpy()
-        cuts = np.flatnonzero((p[1:] != p[:-1]) | (n[1:] != n[:-1])) + 1
-        for lo, hi in zip([0, *cuts], [*cuts, b.num_rows]):
-            if here != (p[lo], n[lo]):
-                if held:
-                    yield _surplus_batch(close())
-                    held = []
-                if here is None or here[0] != p[lo]:
-                    index = PrefixIndex()
-                here = (p[lo], n[lo])
-            held.append(b.slice(lo, hi - lo))
-    if held:
-        yield _surplus_batch(close())
-
-
 def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Before the shuffle: of equal identifiers of one batch in one Arrow batch, the best goes on; the others are surplus already.
 
@@ -192,38 +172,25 @@ def surplus_rows(
     Kept is the copy with usage before one without, then the largest amount (null counts as least), then the smallest row.
     Rows whose identifier is null, empty or all zero are no copies of anything; rows with a null row_col are left alone,
     as nothing could name them. An empty table gives no rows. Other columns are not read, whatever their names.
-    Scale: only five columns are read, one shuffle, map-side deduplication; a task holds one prefix at a time.
+    The batches go in order, SLICES groups of them, through an index in the shared folder.
+    Scale: only five columns are read, once; map-side deduplication before the shuffles; what is shuffled are identifiers and three numbers;
+    a task holds one prefix at a time.
     """
     spark = df.sparkSession
-    n = prefixes or prefix_count(spark, df.count())
-    local = _entries(df, n, id_col, usage_col, amount_field, row_col, batch_col).mapInArrow(_local, _ENTRY)
-    # Surplus rows found before the shuffle are spread over all partitions by their row.
-    spread = local.withColumn("at", F.when(F.col("prefix") < 0, F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")).otherwise(F.col("prefix")))
-    played = (
-        spread.repartition(n, "at")
-        .sortWithinPartitions("prefix", "batch")
-        .select("prefix", "batch", "ident", "usable", "amount", "row")
-        .mapInArrow(_play_or_pass, "row long")
-    )
-    return played.select(F.col("row").alias(row_col))
-
-
-def _play_or_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """`_play`, with rows that are surplus already (prefix -1, sorted first) passed on."""
-
-    def rest() -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            done = int((b.column("prefix").to_numpy() < 0).sum()) if b.num_rows else 0
-            passed.append(b.column("row").to_numpy()[:done])
-            yield b.slice(done)
-
-    passed: list[np.ndarray] = []
-    for out in _play(rest()):
-        while passed:
-            yield _surplus_batch(passed.pop())
-        yield out
-    while passed:
-        yield _surplus_batch(passed.pop())
+    local = settle(_entries(df, 1 << 30, id_col, usage_col, amount_field, row_col, batch_col).mapInArrow(_local, _ENTRY))
+    sizes = local.agg(F.count("*"), F.percentile_approx("batch", [i / SLICES for i in range(1, SLICES)])).first()
+    cuts = sorted(set(sizes[1] or []))
+    index = DeliveryIndex(spark, f"{shared_folder(spark).rstrip('/')}/deliveries-{uuid.uuid4().hex}", prefixes or prefix_count(spark, sizes[0]))
+    found = []
+    for epoch, (lo, hi) in enumerate(zip([None, *cuts], [*cuts, None])):
+        if epoch > MERGE_RUNS:
+            index.merge(epoch - 1)
+        here = F.lit(True) if lo is None else F.col("batch") > lo
+        found.append(index.take(local.where(here if hi is None else here & (F.col("batch") <= hi)), epoch, all_prefixes=True))
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out.select(F.col("row").alias(row_col))
 
 
 def keep_one_copy(df: DataFrame, row_col: str = "row_id", **names: str) -> DataFrame:
@@ -232,14 +199,16 @@ def keep_one_copy(df: DataFrame, row_col: str = "row_id", **names: str) -> DataF
     return df.join(surplus, df[row_col] == F.col("_surplus_row"), "left_anti")
 
 
-_RUN = "prefix int, idents array<binary>, usable array<int>, amounts array<long>, rows array<long>"
+_RUN = "what int, prefix int, ident binary, usable int, amount long, row long"
+_RUN_ARROW = pa.schema({"what": pa.int32(), "prefix": pa.int32(), "ident": pa.binary(), "usable": pa.int32(), "amount": pa.int64(), "row": pa.int64()})
 
 
 class DeliveryIndex:
-    """The index on disk: one folder a run, in it one row a prefix with the sorted arrays.
+    """The index on disk: immutable runs, in each the entries of a prefix together, sorted by identifier, and a state that names the runs that count.
 
-    `ingest` takes batches one after another (in a stream: from foreachBatch with the epoch as run, which makes a repeated
-    epoch harmless); `merge` makes one run of all.
+    `ingest` takes batches one after another (in a stream: from foreachBatch with the epoch, which makes a repeated epoch harmless); `merge` makes
+    one run of several. A run is written under a name of its own and counts from the moment the next state names it, so a failure at any time leaves
+    the state before; states are claimed by creating their file, so that of two writers at once the second fails.
     """
 
     def __init__(self, spark: SparkSession, path: str, prefixes: int = 64):
@@ -247,97 +216,133 @@ class DeliveryIndex:
 
     def _files(self):
         jvm = self.spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        return jvm, root, root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        path = jvm.org.apache.hadoop.fs.Path
+        return path, path(self.path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _states(self) -> dict[int, dict[int, str]]:
+        """By version, the names of the runs that count by epoch."""
+        path, fs = self._files()
+        at = path(f"{self.path}/state")
+        out = {}
+        for s in fs.listStatus(at) if fs.exists(at) else []:
+            stream = fs.open(s.getPath())
+            try:
+                out[int(s.getPath().getName())] = {int(k): v for k, v in json.loads(bytes(stream.readAllBytes()).decode()).items()}
+            except ValueError:
+                pass  # not yet written in full
+            finally:
+                stream.close()
+        return out
+
+    def _state(self) -> tuple[int, dict[int, str]]:
+        states = self._states()
+        last = max(states, default=0)
+        return last, states.get(last, {})
+
+    def _commit(self, version: int, runs: dict[int, str]) -> None:
+        path, fs = self._files()
+        out = fs.create(path(f"{self.path}/state/{version + 1}"), False)
+        out.write(bytearray(json.dumps(runs).encode()))
+        out.close()
+        states = self._states()
+        # What neither this state nor the one before names goes; readers of the one before may still be at it.
+        for old in [v for v in states if v < version]:
+            for name in set(states[old].values()) - set(runs.values()) - set(states.get(version, {}).values()):
+                fs.delete(path(f"{self.path}/{name}/what=0"), True)  # the surplus rows stay, as their reader may not have come yet
+            fs.delete(path(f"{self.path}/state/{old}"), False)
 
     def runs(self) -> list[int]:
-        """Numbers of the runs that are complete."""
-        jvm, root, fs = self._files()
-        if not fs.exists(root):
-            return []
-        done = [s.getPath().getName() for s in fs.listStatus(root) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-        return sorted(int(x[4:]) for x in done if x.startswith("run="))
-
-    def entries(self, below: int | None = None) -> DataFrame:
-        """The runs, each prefix and run a row, with the run's number."""
-        runs = [r for r in self.runs() if below is None or r < below]
-        if not runs:
-            return self.spark.createDataFrame([], _RUN + ", run long")
-        parts = [self.spark.read.schema(_RUN).parquet(f"{self.path}/run={r}").withColumn("run", F.lit(r).cast("long")) for r in runs]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
+        """Numbers of the runs that count."""
+        return sorted(self._state()[1])
+
+    def _read(self, names: dict[int, str]) -> DataFrame:
+        out = self.spark.createDataFrame([], _ENTRY)
+        for epoch, name in names.items():
+            run = self.spark.read.schema(_RUN).parquet(f"{self.path}/{name}").where("what = 0")
+            out = out.unionByName(run.select("prefix", F.lit(epoch).cast("long").alias("batch"), "ident", "usable", "amount", "row"))
         return out
 
     def ingest(self, batch: DataFrame, run: int, **names: str) -> DataFrame:
         """Writes the batch's novel identifiers, and known ones of which it has a better copy, as another run; returns the surplus rows."""
         names = {"id_col": "uuid", "usage_col": "usage", "amount_field": "output_tokens", "row_col": "row_id"} | names
-        found = (
-            _entries(batch, self.prefixes, batch_col=None, **names)
-            .mapInArrow(_local, _ENTRY)
-            .withColumn("prefix", F.when(F.col("prefix") < 0, F.pmod(F.xxhash64("row"), F.lit(self.prefixes)).cast("int")).otherwise(F.col("prefix")))
-            .groupBy("prefix")
-            .cogroup(self.entries(run).groupBy("prefix"))
-            .applyInPandas(_meet, _RUN + ", surplus array<long>")
-        )
-        from tidemark.session import settle
-
-        found = settle(found)
-        found.where("size(idents) > 0").drop("surplus").write.mode("overwrite").parquet(f"{self.path}/run={run}")
-        return found.select(F.explode("surplus").alias(names["row_col"]))
+        found = self.take(settle(_entries(batch, 1 << 30, batch_col=None, **names).mapInArrow(_local, _ENTRY)), run)
+        return found.select(F.col("row").alias(names["row_col"]))
+
+    def take(self, local: DataFrame, run: int, all_prefixes: bool = False) -> DataFrame:
+        """`ingest` of what was deduplicated locally (and written down); the column row of those that are surplus. all_prefixes: the batch surely touches all."""
+        version, state = self._state()
+        before = {e: n for e, n in state.items() if e < run}
+        # Prefixes are by the last bits of a hash. Surplus rows found locally carry none; they are spread by their row.
+        placed = local.withColumn("prefix", F.pmod(F.when(F.col("prefix") < 0, F.xxhash64("row")).otherwise(F.col("prefix")), F.lit(self.prefixes)).cast("int"))
+        known = self._read(before)
+        if before and not all_prefixes and self.prefixes <= MOST_NAMED:
+            known = known.where(F.col("prefix").isin([r[0] for r in placed.select("prefix").distinct().collect()]))
+        name = f"run-{run}-{uuid.uuid4().hex}"
+        met = placed.groupBy("prefix").cogroup(known.groupBy("prefix")).applyInArrow(_meet, _RUN)
+        met.write.partitionBy("what").parquet(f"{self.path}/{name}")
+        self._commit(version, {e: n for e, n in state.items() if e != run} | {run: name})
+        return self.spark.read.schema(_RUN).parquet(f"{self.path}/{name}").where("what = 1").select("row")
 
     def merge(self, keep: int) -> None:
         """One run, numbered keep, of all with numbers up to keep; the newest entry of an identifier holds."""
-        old = [r for r in self.runs() if r <= keep]
+        version, state = self._state()
+        old = {e: n for e, n in state.items() if e <= keep}
         if len(old) < 2:
             return
-        from tidemark.session import settle
-
-        merged = settle(self.entries(keep + 1).groupBy("prefix").applyInPandas(_merge, _RUN))
-        merged.write.mode("overwrite").parquet(f"{self.path}/run={keep}")
-        jvm, _, fs = self._files()
-        for r in old:
-            if r != keep:
-                fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.path}/run={r}"), True)
-
-
-def _as_keys(idents) -> np.ndarray:
-    return np.frombuffer(b"".join(bytes(x) + b"\1" for x in idents), _KEY)
-
-
-def _run_frame(prefix: int, run, surplus=None) -> dict:
-    keys, u, a, r = run
-    row = {"prefix": [prefix], "idents": [[k[:16] for k in keys.tolist()]], "usable": [u.tolist()], "amounts": [a.tolist()], "rows": [r.tolist()]}
-    return row if surplus is None else row | {"surplus": [surplus.tolist()]}
-
-
-def _meet(new: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-    """The batch's entries of one prefix against the runs of that prefix."""
-    if not len(new):
-        return pd.DataFrame(columns=["prefix", "idents", "usable", "amounts", "rows", "surplus"])
-    prefix, index = int(new["prefix"].iloc[0]), PrefixIndex(merge_runs=1 << 30)
-    for x in known.sort_values("run").itertuples():
-        index.runs.append((_as_keys(x.idents), np.array(x.usable, np.int32), np.array(x.amounts, np.int64), np.array(x.rows, np.int64)))
+        name = f"run-{keep}-{uuid.uuid4().hex}"
+        self._read(old).groupBy("prefix").applyInArrow(_merge, _RUN).write.partitionBy("what").parquet(f"{self.path}/{name}")
+        self._commit(version, {e: n for e, n in state.items() if e > keep} | {keep: name})
+
+
+def _loaded(known: pa.Table) -> list[tuple[np.ndarray, ...]]:
+    """The runs of one prefix, the oldest first; the arrays may be written to."""
+    out = []
+    for run in np.unique(known.column("batch").to_numpy()):
+        here = known.filter(pa.array(known.column("batch").to_numpy() == run))
+        keys, numbers = _keys(here.column("ident")), [x.copy() for x in _numbers(here)]
+        order = np.argsort(keys, kind="stable")  # sorted already as it was written, unless files were read in parts
+        out.append((keys[order], *(x[order] for x in numbers)))
+    return out
+
+
+def _run_table(prefix: int, runs: list[tuple[np.ndarray, ...]], surplus: np.ndarray) -> pa.Table:
+    keys, usable, amount, row = (np.concatenate(x) if runs else np.empty(0, t) for x, t in zip(zip(*runs) if runs else [()] * 4, (_KEY, np.int32, np.int64, np.int64)))
+    order = np.argsort(keys, kind="stable")
+    n, m = len(keys), len(surplus)
+    raw = np.ascontiguousarray(keys[order]).view(np.uint8).reshape(-1, 17)[:, :16].tobytes()
+    idents = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1, dtype=np.int32) * 16).tobytes()), pa.py_buffer(raw)])
+    columns = (
+        np.repeat(np.array([0, 1], np.int32), [n, m]), np.full(n + m, prefix, np.int32), pa.concat_arrays([idents, pa.nulls(m, pa.binary())]),
+        np.concatenate([usable[order], np.zeros(m, np.int32)]), np.concatenate([amount[order], np.zeros(m, np.int64)]), np.concatenate([row[order], surplus]),
+    )
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _RUN_ARROW)], schema=_RUN_ARROW)
+
+
+def _meet(new: pa.Table, known: pa.Table) -> pa.Table:
+    """The batch's entries of one prefix against the runs of that prefix: what is novel or better, and the rows that became surplus."""
+    if not new.num_rows:
+        return _RUN_ARROW.empty_table()
+    prefix, index = new.column("prefix")[0].as_py(), PrefixIndex(merge_runs=1 << 30)
+    index.runs = _loaded(known)
     before = [r[3].copy() for r in index.runs]
-    lost = new["ident"].isna()
-    live = new[~lost]
-    numbers = (live["usable"].to_numpy(np.int32), live["amount"].to_numpy(np.int64), live["row"].to_numpy(np.int64))
-    surplus = np.concatenate([new.loc[lost, "row"].to_numpy(np.int64), index.ingest(_as_keys(live["ident"]), *numbers)])
-    parts = [tuple(x[r[3] != b] for x in r) for r, b in zip(index.runs, before)] + index.runs[len(before) :]
-    fresh = PrefixIndex()
-    fresh.runs = [p for p in parts if len(p[0])]
-    fresh.merge()
-    empty = (np.empty(0, _KEY), np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64))
-    return pd.DataFrame(_run_frame(prefix, fresh.runs[0] if fresh.runs else empty, surplus))
-
-
-def _merge(runs: pd.DataFrame) -> pd.DataFrame:
-    index, prefix = PrefixIndex(), int(runs["prefix"].iloc[0])
-    seen = np.empty(0, _KEY)
-    for x in runs.sort_values("run", ascending=False).itertuples():
-        run = (_as_keys(x.idents), np.array(x.usable, np.int32), np.array(x.amounts, np.int64), np.array(x.rows, np.int64))
-        new = ~np.isin(run[0], seen)
-        index.runs.append(tuple(c[new] for c in run))
-        seen = np.concatenate([seen, run[0][new]])
-    index.merge()
-    return pd.DataFrame(_run_frame(prefix, index.runs[0]))
+    lost = new.column("ident").is_null()
+    live, surplus = new.filter(pc.invert(lost)), [new.filter(lost).column("row").to_numpy()]
+    numbers = live.column("batch").to_numpy()
+    for b in np.unique(numbers):  # batches in their order
+        here = live.filter(pa.array(numbers == b))
+        surplus.append(index.ingest(_keys(here.column("ident")), *_numbers(here)))
+    better = [tuple(x[r[3] != b] for x in r) for r, b in zip(index.runs, before)]
+    fresh = [r for r in better + index.runs[len(before) :] if len(r[0])]
+    return _run_table(prefix, fresh, np.concatenate(surplus))
+
+
+def _merge(known: pa.Table) -> pa.Table:
+    """The runs of one prefix as one; of an identifier in several the newest entry holds."""
+    runs = _loaded(known)
+    keys = np.concatenate([r[0] for r in runs])
+    age = np.concatenate([np.full(len(r[0]), i) for i, r in enumerate(runs)])
+    order = np.lexsort((-age, keys))
+    newest = np.ones(len(order), bool)
+    newest[1:] = keys[order][1:] != keys[order][:-1]
+    picked = order[newest]
+    return _run_table(known.column("prefix")[0].as_py(), [(keys[picked], *(np.concatenate(x)[picked] for x in list(zip(*runs))[1:]))], np.empty(0, np.int64))

@@ -16,9 +16,9 @@ def archive_stream(stream: DataFrame, index: DeliveryIndex, archive: str, checkp
     """
 
     def take(batch: DataFrame, epoch: int) -> None:
-        surplus = index.ingest(batch, epoch)
-        surplus.write.mode("overwrite").parquet(f"{archive}-surplus/batch={epoch}")
+        # The archive comes first: an index that knew rows which the archive lacks would lose them.
         batch.write.mode("overwrite").parquet(f"{archive}/batch={epoch}")
+        index.ingest(batch.sparkSession.read.schema(batch.schema).parquet(f"{archive}/batch={epoch}"), epoch).write.mode("overwrite").parquet(f"{archive}-surplus/batch={epoch}")
         if epoch and epoch % merge_every == 0:
             index.merge(epoch - 1)
 
