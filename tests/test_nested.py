@@ -2,7 +2,7 @@ import json
 
 import pytest
 
-from tidemark.operators.nested import _parse_deep, element_objects, flat_tables, labelled_nodes, parse
+from tidemark.operators.nested import _parse_deep, element_objects, flat_tables, labelled_nodes, parse, write_tables
 
 
 def brute(v, path="", parent="", in_array=False, key=None):
@@ -77,3 +77,14 @@ def test_children_name_their_parents(spark):
     label, parent = labels["/0/input/edits/0/spans/0"]
     assert label[: len(parent)] == parent == labels["/0/input/edits/0"][0]
     assert flat["rows"].collect()[0].blocks == 1
+
+
+def test_every_element_is_in_a_table_whatever_its_schema_path(spark, tmp_path):
+    text = '[{"type": "a", "source": {"parts": [{"x": 1}, {"y": [{"z": 2}]}]}}, {"meta": [{"k": null}]}]'
+    labelled = labelled_nodes(spark.createDataFrame([(1, text)], "row_id long, content string"))
+    flat = flat_tables(labelled)
+    want = {"/0": "", "/1": "", "/0/source/parts/0": "/0", "/0/source/parts/1": "/0", "/0/source/parts/1/y/0": "/0/source/parts/1", "/1/meta/0": "/1"}
+    assert {r.path: r.parent_path for r in flat["elements"].collect()} == want
+    assert sum(flat[t].count() for t in ("blocks", "results", "input_elements", "others")) == len(want)
+    write_tables(labelled, f"{tmp_path}/tables")
+    assert {r.path: r.parent_path for r in spark.read.parquet(f"{tmp_path}/tables").collect()} == want

@@ -4,7 +4,6 @@ import datetime
 import random
 
 import __spark_entry__ as entry
-from tidemark.llm import personal
 from tidemark.operators import nested
 
 
@@ -36,12 +35,3 @@ def test_p3_parents_by_truncation_are_those_of_the_plain_walk():
         assert sorted(got) == sorted(nested.elements(root, "input"))
         n += sum(parent != "" for _, parent in got)
     assert n > 100
-
-
-def test_p4_name_beside_a_formed_stretch_is_found_and_replaced(spark):
-    parts = spark.createDataFrame([("Tobrek", "given"), ("Dzurinka", "family")], "name_part string, part_kind string")
-    texts = ["Sent to Tobrek Dzurinka, Hauptstraße 5 today", "with Tobrek Dzurinka EX 180700 in it"]
-    df = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "row_id long, text string, input string")
-    got = {(r.row_id, r.kind, r.found) for r in personal.personal_stretches(df, parts).collect()}
-    assert {(i, "name", "Tobrek Dzurinka") for i in (0, 1)} <= got and {k for _, k, _ in got} == {"name", "address", "id_number"}
-    assert all("Dzurinka" not in r.text for r in personal.sanitise(df, parts).collect())

@@ -130,34 +130,48 @@ def elements(root, encoded_key: str) -> Iterator[tuple[str, str]]:
 
 
 def nodes(root, encoded_key: str) -> Iterator[tuple]:
-    """Every node of a record: label, path, truncation to the enclosing element, schema path, kind, whether it is an object in an array, and its scalar value."""
-    stack = [(root, (), "", 0, "", "", False)]
+    """Every node of a record: label, path, schema path, kind, whether it is an object in an array, and its scalar value."""
+    stack = [(root, (), "", "", False)]
     while stack:
-        v, label, path, cut, parent, schema, in_array = stack.pop()
-        element = in_array and isinstance(v, dict)
+        v, label, path, schema, in_array = stack.pop()
         kind = "object" if isinstance(v, dict) else "array" if isinstance(v, list) else "null" if v is None else "boolean" if isinstance(v, bool) else "string" if isinstance(v, str) else "number"
         value = None if kind in ("object", "array", "null") else v.encode("utf-8", "replace").decode() if kind == "string" else json.dumps(v)
-        yield label, path, parent, label[:cut], schema, kind, element, value
-        if element:
-            cut, parent = len(label), path
+        yield label, path, schema, kind, in_array and kind == "object", value
         if kind == "object":
-            below = [(decoded(x) if k == encoded_key and isinstance(x, str) else x, (*label, i), f"{path}/{_escape(k)}", cut, parent, f"{schema}/{_escape(k)}", False) for i, (k, x) in enumerate(v.items())]
+            below = [(decoded(x) if k == encoded_key and isinstance(x, str) else x, (*label, i), f"{path}/{_escape(k)}", f"{schema}/{_escape(k)}", False) for i, (k, x) in enumerate(v.items())]
         elif kind == "array":
-            below = [(x, (*label, i), f"{path}/{i}", cut, parent, f"{schema}/*", True) for i, x in enumerate(v)]
+            below = [(x, (*label, i), f"{path}/{i}", f"{schema}/*", True) for i, x in enumerate(v)]
         else:
             continue
         stack += reversed(below)
 
 
-def labelled_elements(root, encoded_key: str) -> Iterator[tuple[str, str]]:
-    """What `elements` gives, by labels: the parent of an element is the one whose label is the longest truncation of its own."""
+def with_parents(labelled: Iterator[tuple]) -> Iterator[tuple]:
+    """Each node with the path and label of its parent: the element whose label is the longest truncation of its own ('' and () if none).
+
+    Nodes come in the order of their labels, so the elements on the way to a node are those before it whose label is a truncation of its own.
+    """
     above: list[tuple[tuple, str]] = []
-    for label, path, _, _, _, _, element, _ in nodes(root, encoded_key):
-        if element:
-            while above and label[: len(above[-1][0])] != above[-1][0]:
-                above.pop()
-            yield path, above[-1][1] if above else ""
-            above.append((label, path))
+    for node in labelled:
+        label = node[0]
+        while above and label[: len(above[-1][0])] != above[-1][0]:
+            above.pop()
+        parent_label, parent = above[-1] if above else ((), "")
+        yield (*node, parent, parent_label)
+        if node[4]:
+            above.append((label, node[1]))
+
+
+def all_nodes(root, encoded_key: str) -> Iterator[tuple]:
+    for label, path, schema, kind, element, value, parent, parent_label in with_parents(nodes(root, encoded_key)):
+        yield label, path, parent, parent_label, schema, kind, element, value
+
+
+def labelled_elements(root, encoded_key: str) -> Iterator[tuple[str, str]]:
+    """What `elements` gives, by labels."""
+    for node in with_parents(nodes(root, encoded_key)):
+        if node[4]:
+            yield node[1], node[6]
 
 
 def _walker(walk: Callable, schema: pa.Schema, containers_only: bool, encoded_key: str) -> Callable:
@@ -204,23 +218,33 @@ def element_objects(df: DataFrame, json_col: str = "content", row_col: str = "ro
 def labelled_nodes(df: DataFrame, json_col: str = "content", row_col: str = "row_id", encoded_key: str = "input") -> DataFrame:
     """All nodes of all records with their Dewey labels; texts that are no JSON give none. Narrow, as `element_objects`."""
     needed = df.select(F.col(row_col).cast("long").alias("row"), F.col(json_col).cast("string").alias("text")).where("text IS NOT NULL")
-    found = spread(needed).mapInArrow(_walker(nodes, _arrow(_NODE), False, encoded_key), _NODE)
+    found = spread(needed).mapInArrow(_walker(all_nodes, _arrow(_NODE), False, encoded_key), _NODE)
     return found.withColumnRenamed("row", row_col)
 
 
 def flat_tables(labelled: DataFrame, row_col: str = "row_id") -> dict[str, DataFrame]:
     """The tables of message contents, grouped by schema path; each child names its parent by path.
 
-    rows: one a record, with the number of its blocks; blocks: objects of the outermost array; results: objects of a block's content;
-    input_elements: objects of arrays within a block's input; fields: every scalar with the path of the object that holds it.
+    rows: one a record, with the number of its blocks; elements: every object of an array, at any schema path, with its label and its parent's;
+    of these, blocks: objects of the outermost array; results: objects of a block's content; input_elements: objects of arrays within a block's
+    input; others: the rest; fields: every scalar with the path of the object that holds it.
     """
-    depth1, element = F.col("schema_path") == "/*", F.col("element")
-    keep = (row_col, "path", "parent_path", "schema_path")
+    depth1, element, schema = F.col("schema_path") == "/*", F.col("element"), F.col("schema_path")
+    of_input, of_results = schema.rlike(r"^/\*(/content/\*)*/input/"), schema.rlike(r"^/\*/content/")
     owner = F.regexp_replace("path", "/[^/]*$", "")
+    elements = labelled.where(element).select(row_col, "label", "path", "parent_label", "parent_path", "schema_path", F.element_at("label", -1).alias("position"))
+    narrow = elements.drop("label", "parent_label")
     return {
         "rows": labelled.groupBy(row_col).agg(F.count_if(depth1 & element).alias("blocks"), F.max(F.when(F.size("label") == 0, F.col("kind"))).alias("kind")),
-        "blocks": labelled.where(element & depth1).select(*keep, F.element_at("label", -1).alias("position")),
-        "results": labelled.where(element & F.col("schema_path").rlike(r"^/\*/content/")).select(*keep, F.element_at("label", -1).alias("position")),
-        "input_elements": labelled.where(element & F.col("schema_path").rlike(r"^/\*(/content/\*)*/input/")).select(*keep, F.element_at("label", -1).alias("position")),
+        "elements": elements,
+        "blocks": narrow.where(depth1),
+        "results": narrow.where(of_results & ~of_input),
+        "input_elements": narrow.where(of_input),
+        "others": narrow.where(~depth1 & ~of_results & ~of_input),
         "fields": labelled.where(F.col("kind").isin("string", "number", "boolean", "null")).select(row_col, "path", owner.alias("owner_path"), "parent_path", "schema_path", "kind", "value"),
     }
+
+
+def write_tables(labelled: DataFrame, path: str, row_col: str = "row_id") -> None:
+    """The elements as one table a schema path under path, in one pass, whatever the schema paths are."""
+    flat_tables(labelled, row_col)["elements"].write.mode("overwrite").partitionBy("schema_path").parquet(path)

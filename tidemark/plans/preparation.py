@@ -29,8 +29,8 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 def p3_table_sizes(spark: SparkSession, folder: str) -> DataFrame:
     """Rows of each flat table by schema path."""
     flat = nested.flat_tables(nested.labelled_nodes(table(spark, folder, "messages")))
-    counts = [flat[t].groupBy("schema_path").agg(F.count("*").alias("n")).select(F.lit(t).alias("flat_table"), "schema_path", "n") for t in ("blocks", "results", "input_elements")]
-    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+    counts = [flat[t].groupBy("schema_path").agg(F.count("*").alias("n")).select(F.lit(t).alias("flat_table"), "schema_path", "n") for t in ("blocks", "results", "input_elements", "others")]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2]).unionByName(counts[3])
 
 
 #: Rows of messages with the identifier that uuid denotes (NULL: none), and their rank among its copies.
@@ -70,6 +70,6 @@ def oracle_sql() -> dict[str, str]:
           CAST(sum(usage.output_tokens) AS BIGINT) AS output_tokens FROM ranked WHERE copy_no = 1 GROUP BY project""",
         "p3_found": f"{_NODES_SQL} SELECT row_id, path, parent_path FROM nodes WHERE in_array AND json_type(v) = 'OBJECT'",
         "p3_table_sizes": f"""{_NODES_SQL}, found AS (SELECT regexp_replace(path, '/[0-9]+', '/*', 'g') AS schema_path FROM nodes WHERE in_array AND json_type(v) = 'OBJECT')
-          SELECT CASE WHEN schema_path = '/*' THEN 'blocks' WHEN schema_path LIKE '/*/content/%' AND NOT regexp_matches(schema_path, '^/\\*(/content/\\*)*/input/') THEN 'results' ELSE 'input_elements' END AS flat_table,
-          schema_path, count(*) AS n FROM found WHERE regexp_matches(schema_path, '^/\\*$|^/\\*/content/|^/\\*(/content/\\*)*/input/') GROUP BY ALL""",
+          SELECT CASE WHEN schema_path = '/*' THEN 'blocks' WHEN regexp_matches(schema_path, '^/\\*(/content/\\*)*/input/') THEN 'input_elements' WHEN schema_path LIKE '/*/content/%' THEN 'results' ELSE 'others' END AS flat_table,
+          schema_path, count(*) AS n FROM found GROUP BY ALL""",
     }
